@@ -1,4 +1,10 @@
-"""JSON documents as canonical text, and what is read out of them."""
+"""JSON documents as parsed values and canonical text, and what is read out of them.
+
+A document is parsed once, into a variant; members are taken from that.  Text is
+canonical (keys sorted, spacing removed), so equal documents are equal strings.
+Numbers are compared as written: `1.0` and `1` become the same text, `1e2` and
+`100` do not.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +15,28 @@ IDENTIFIERS = "array<struct<type:string,id:string>>"
 RELATIONSHIPS = "map<string,struct<data:string>>"
 
 
-def canonical(text: Column) -> Column:
-    """Key order and spacing removed, so that equal documents are equal strings; NULL if it is no JSON.
+def parsed(text: Column) -> Column:
+    """The document as a variant; NULL if the text is no JSON."""
+    return F.try_parse_json(text)
+
+
+def canonical(doc: Column) -> Column:
+    return F.to_json(doc)
 
-    Numbers are compared as written: `1.0` and `1` become the same text, `1e2`
-    and `100` do not.
-    """
-    return F.to_json(F.try_parse_json(text))
 
+def member_doc(doc: Column, name: str) -> Column:
+    """A top-level member as a variant; NULL when absent."""
+    return F.try_variant_get(doc, f"$.{name}", "variant")
 
-def member(text: Column, name: str) -> Column:
+
+def member(doc: Column, name: str) -> Column:
     """A top-level member as canonical text; NULL when absent, `null` when JSON null."""
-    return F.to_json(F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant"))
+    return F.to_json(member_doc(doc, name))
+
+
+def string_member(doc: Column, path: str) -> Column:
+    """The value at `path` (members joined by dots) as a string."""
+    return F.try_variant_get(doc, f"$.{path}", "string")
 
 
 def identifier(type_: Column, id_: Column) -> Column:
@@ -28,7 +44,7 @@ def identifier(type_: Column, id_: Column) -> Column:
 
 
 def relationship_ids(relationships: Column) -> Column:
-    """Distinct identifiers of all relationships, sorted by type and id.
+    """Distinct identifiers of all relationships (canonical text), sorted by type and id.
 
     Each relationship holds one identifier or a list under `data`, or no `data`.
     A single identifier parses as a list of one.

@@ -11,9 +11,10 @@ only shuffle is that of the messages, which are combined on the map side first.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegraph.lineage import cut, fixed_partitioning
@@ -78,14 +79,31 @@ def adjacency(links: DataFrame, nodes: DataFrame | None = None, hot_degree: int
     return Adjacency(cold, hot, hubs, nodes, partitions)
 
 
-def spread(adj: Adjacency, seeds: DataFrame, include_seeds: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class TableLinks:
+    """An edge table stored in hash buckets by target, used as links against the edges.
+
+    For few seeds on a large table: nothing is laid out anew, and the buckets of
+    a small frontier are all that a round reads, as `bucket` is a partition
+    column and the frontier prunes it at run time.  `bucket_of` computes the
+    bucket from columns named like the target's.
+    """
+
+    edges: DataFrame
+    bucket_of: Column
+
+
+def spread(adj: Adjacency | TableLinks, seeds: DataFrame, include_seeds: bool = True) -> DataFrame:
     """Carry `value` from the seeds along the links; every node keeps the largest value that reaches it.
 
     `seeds` is `(type, id, value BIGINT)`.  Returns `(type, id, value)` for all
     nodes reached, the seeds being reached without a hop if `include_seeds`.
     The values only grow and come from the seeds, so the loop ends on any graph.
     """
-    with fixed_partitioning(seeds.sparkSession, adj.partitions):
+    planning = (
+        fixed_partitioning(seeds.sparkSession, adj.partitions) if isinstance(adj, Adjacency) else nullcontext()
+    )
+    with planning:
         start = seeds.groupBy(*NODE).agg(F.max("value").alias("value"))
         frontier = cut(start.withColumn("known", F.col("value")))
         reached = frontier if include_seeds else None
@@ -99,8 +117,16 @@ def spread(adj: Adjacency, seeds: DataFrame, include_seeds: bool = True) -> Data
             frontier = merged.filter("fresh")
 
 
-def _messages(adj: Adjacency, frontier: DataFrame) -> DataFrame:
+def _messages(adj: Adjacency | TableLinks, frontier: DataFrame) -> DataFrame:
     """The best value sent to each node in this round, with no value `known` to it yet."""
+    if isinstance(adj, TableLinks):
+        senders = frontier.select(F.col("type").alias("to_type"), F.col("id").alias("to_id"), "value")
+        senders = senders.withColumn("bucket", adj.bucket_of)
+        return (
+            adj.edges.join(senders, ["bucket", "to_type", "to_id"])
+            .groupBy(F.col("from_type").alias("type"), F.col("from_id").alias("id"))
+            .agg(F.max("value").alias("value"), F.max(F.lit(None).cast("bigint")).alias("known"))
+        )
     sent = adj.cold.join(frontier.select(*NODE, "value").hint("merge"), NODE).select(*DST, "value")
     if adj.hot is not None:
         hub_senders = frontier.select(*NODE, "value").join(F.broadcast(adj.hubs), NODE, "left_semi")

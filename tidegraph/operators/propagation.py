@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.closure import Adjacency, adjacency, against_edges, spread
+from tidegraph.operators.closure import Adjacency, TableLinks, adjacency, against_edges, spread
 from tidegraph.operators.ordering import with_sequence
 from tidegraph.schema import NODE
 
@@ -17,7 +17,7 @@ def high_water_mark(history: DataFrame) -> int:
     return history.agg(F.max("seq")).first()[0] or 0
 
 
-def reached_by(changes: DataFrame, links: Adjacency) -> DataFrame:
+def reached_by(changes: DataFrame, links: Adjacency | TableLinks) -> DataFrame:
     """Each changed resource and all that refer to it, with the last queue key to reach it: `(type, id, key)`.
 
     A resource queued several times is propagated once, by its newest key.
@@ -27,14 +27,14 @@ def reached_by(changes: DataFrame, links: Adjacency) -> DataFrame:
 
 
 def propagate(
-    changes: DataFrame, edges: DataFrame | Adjacency, start_seq: int, event_time: datetime
+    changes: DataFrame, edges: DataFrame | Adjacency | TableLinks, start_seq: int, event_time: datetime
 ) -> DataFrame:
     """New log rows `(type, id, seq, event_time)` for a batch of queued changes.
 
     Every reached resource gets a fresh sequence number above `start_seq`, in
     the order of the last queue key that reaches it, then type, then id.
     """
-    links = edges if isinstance(edges, Adjacency) else adjacency(against_edges(edges))
+    links = adjacency(against_edges(edges)) if isinstance(edges, DataFrame) else edges
     numbered = with_sequence(reached_by(changes, links), ["key", *NODE], "seq", start_seq)
     return numbered.select(*NODE, "seq", F.lit(event_time).alias("event_time"))
 

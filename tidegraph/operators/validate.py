@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.functions.jsontext import IDENTIFIERS, RELATIONSHIPS, canonical, member
+from tidegraph.functions.jsontext import (
+    IDENTIFIERS,
+    RELATIONSHIPS,
+    member,
+    member_doc,
+    parsed,
+    string_member,
+)
+from tidegraph.lineage import cut
 from tidegraph.schema import NODE
 
 MAX_BATCH = 10_000
@@ -37,8 +45,8 @@ def _bad_relationship(relationships: Column) -> Column:
 RESERVED_MEMBER = r'[{,]"(links|relationships)":'
 
 
-def document_fault(body: Column) -> Column:
-    """Why a resource document is invalid, or NULL.
+def document_fault(doc: Column) -> Column:
+    """Why a resource document (parsed) is invalid, or NULL.
 
     `malformed`: no JSON object.  `identifier`: `type` or `id` missing or no string.
     `relationship`: `data` is neither an identifier nor a list of them.
@@ -46,12 +54,12 @@ def document_fault(body: Column) -> Column:
     `shared_name`: the same name in attributes and relationships.
     `nested_member`: `links` or `relationships` at any depth inside attributes.
     """
-    attributes, relationships = member(body, "attributes"), member(body, "relationships")
+    attributes, relationships = member(doc, "attributes"), member(doc, "relationships")
     names, related = _keys(attributes), _keys(relationships)
     reserved = F.array(F.lit("type"), F.lit("id"))
     return (
-        F.when(~F.coalesce(canonical(body).startswith("{"), F.lit(False)), "malformed")
-        .when(~(_is_text(member(body, "type")) & _is_text(member(body, "id"))), "identifier")
+        F.when(~F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False)), "malformed")
+        .when(~(_is_text(member(doc, "type")) & _is_text(member(doc, "id"))), "identifier")
         .when(_bad_relationship(relationships), "relationship")
         .when(F.arrays_overlap(F.concat(names, related), reserved), "reserved_name")
         .when(F.arrays_overlap(names, related), "shared_name")
@@ -65,22 +73,26 @@ def path_fault(path_type: Column, path_id: Column, body_type: Column, body_id: C
     return F.when(~same, "unprocessable")
 
 
-def changefeed_fault(body: Column) -> Column:
-    """Why a changefeed document is invalid, or NULL: wrong type, wrong parent type, or a filter that is no list of strings."""
-    parent = F.get_json_object(body, "$.relationships.parent.data")
-    types = F.get_json_object(body, "$.attributes.typeFilter")
-    items = F.from_json(member(body, "attributes"), "struct<typeFilter:array<string>>")["typeFilter"]
-    raw_items = F.try_variant_get(F.try_parse_json(body), "$.attributes.typeFilter", "array<variant>")
-    all_text = F.forall(raw_items, lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+def changefeed_fault(doc: Column) -> Column:
+    """Why a changefeed document (parsed) is invalid, or NULL.
+
+    `malformed`, `type` or `identifier` wrong, `parent_type` wrong, or a
+    `type_filter` that is no list of strings.
+    """
+    parent_type = string_member(doc, "relationships.parent.data.type")
+    given = member_doc(doc, "attributes.typeFilter")
+    items = F.try_variant_get(doc, "$.attributes.typeFilter", "array<variant>")
+    all_text = F.forall(items, lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
     return (
-        F.when(canonical(body).isNull(), "malformed")
-        .when(~F.coalesce(F.get_json_object(body, "$.type") == "changefeed", F.lit(False)), "type")
-        .when(member(body, "id").isNull(), "identifier")
+        F.when(doc.isNull(), "malformed")
+        .when(~F.coalesce(string_member(doc, "type") == "changefeed", F.lit(False)), "type")
+        .when(~_is_text(member(doc, "id")), "identifier")
         .when(
-            parent.isNotNull() & ~F.coalesce(F.get_json_object(parent, "$.type") == "changefeed", F.lit(False)),
+            member_doc(doc, "relationships.parent").isNotNull()
+            & ~F.coalesce(parent_type == "changefeed", F.lit(False)),
             "parent_type",
         )
-        .when(types.isNotNull() & (items.isNull() | ~F.coalesce(all_text, F.lit(False))), "type_filter")
+        .when(F.coalesce(F.to_json(given) != "null", F.lit(False)) & ~F.coalesce(all_text, F.lit(False)), "type_filter")
     )
 
 
@@ -109,26 +121,19 @@ def split_writes(raw: DataFrame, normalised: DataFrame) -> tuple[DataFrame, Data
     """Accepted write rows and `rejected(ord, reason, pointer, detail)`.
 
     `raw` has the document under `{"data": ...}`, `normalised` the write rows;
-    both are keyed by `ord`.  Deletes have no document to check.
+    both are keyed by `ord`.  Deletes have no document to check.  The verdicts
+    are cut: both results need them, and a filter on a verdict would otherwise
+    be pushed down and evaluate all of it again.
     """
-    checked = raw.select(
-        "ord",
-        F.when(
-            F.col("op") != "delete",
-            F.coalesce(
-                document_fault(member(F.col("body"), "data")),
-                path_fault(
-                    F.col("path_type"),
-                    F.col("path_id"),
-                    F.get_json_object("body", "$.data.type"),
-                    F.get_json_object("body", "$.data.id"),
-                ),
-            ),
-        ).alias("reason"),
-        "path_type",
-        "path_id",
+    doc = F.col("_doc")
+    fault = F.coalesce(
+        document_fault(doc),
+        path_fault(F.col("path_type"), F.col("path_id"), string_member(doc, "type"), string_member(doc, "id")),
+    )
+    checked = raw.withColumn("_doc", member_doc(parsed(F.col("body")), "data")).select(
+        "ord", "path_type", "path_id", F.when(F.col("op") != "delete", fault).alias("reason")
     )
-    rejected = checked.filter("reason is not null").select(
+    rejected = cut(checked).filter("reason is not null").select(
         "ord",
         "reason",
         F.lit("/data").alias("pointer"),

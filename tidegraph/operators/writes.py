@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.functions.jsontext import digest, member
+from tidegraph.functions.jsontext import digest, member, parsed
 from tidegraph.operators.ordering import previous_best
 from tidegraph.schema import NODE
 from tidegraph.skew import HOT_ROWS
@@ -29,15 +29,15 @@ PAYLOAD = ["deleted", "seq", "body", "out_refs"]
 
 
 def _stored_as_writes(state: DataFrame) -> DataFrame:
-    return state.select(
+    return state.withColumn("_doc", parsed(F.col("resource"))).select(
         *NODE,
         F.lit(STORED).cast("bigint").alias("ord"),
         F.col("updated").alias("ts"),
         "deleted",
         F.col("sequence_number").alias("seq"),
         F.col("resource").alias("body"),
-        member(F.col("resource"), "attributes").alias("attributes"),
-        member(F.col("resource"), "relationships").alias("relationships"),
+        member(F.col("_doc"), "attributes").alias("attributes"),
+        member(F.col("_doc"), "relationships").alias("relationships"),
         "out_refs",
         "created",
     )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.columns import micros
 from tidegraph.functions.events import event_lines, row_events
-from tidegraph.functions.jsontext import member, relationship_ids
+from tidegraph.functions.jsontext import member, parsed, relationship_ids
+from tidegraph.lineage import cut
 from tidegraph.operators import feeds as fd
 from tidegraph.operators import polling as pl
 from tidegraph.operators import validate as va
@@ -62,7 +63,7 @@ def _joined(refs: Column) -> Column:
 @query
 def relationship_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = retail.lineitem_documents(spark, sf_dir)
-    refs = relationship_ids(member(F.col("body"), "relationships"))
+    refs = relationship_ids(member(parsed(F.col("body")), "relationships"))
     return docs.select("l_orderkey", "l_linenumber", _joined(refs).alias("refs"))
 
 
@@ -416,7 +417,7 @@ def ack_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cursors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     log = samples.history(spark, sf_dir)
     registered = fd.registry(retail.changefeeds(spark, sf_dir), log)
-    return pl.cursors(registered, F.lit(10)), log
+    return cut(pl.cursors(registered, F.lit(10))), log
 
 
 @query
@@ -523,11 +524,11 @@ def accepted_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def validate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts inside attributes; the check must not be misled by what a text contains."""
-    docs = samples.text_documents(spark, sf_dir)
-    return docs.select("doc_id", va.document_fault(F.col("body")).alias("fault"))
+    docs = samples.text_documents(spark, sf_dir).withColumn("doc", parsed(F.col("body")))
+    return docs.select("doc_id", va.document_fault(F.col("doc")).alias("fault"))
 
 
 @query
 def validate_changefeeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = samples.changefeed_documents(spark, sf_dir)
-    return docs.select("c_custkey", va.changefeed_fault(F.col("body")).alias("fault"))
+    docs = samples.changefeed_documents(spark, sf_dir).withColumn("doc", parsed(F.col("body")))
+    return docs.select("c_custkey", va.changefeed_fault(F.col("doc")).alias("fault"))

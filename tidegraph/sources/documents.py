@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.functions.jsontext import IDENTIFIERS, member, relationship_ids
+from tidegraph.functions.jsontext import IDENTIFIERS, member, member_doc, parsed, relationship_ids, string_member
 from tidegraph.schema import RAW_BATCHES, RAW_WRITES
 
 
@@ -34,30 +34,29 @@ def normalise(raw: DataFrame) -> DataFrame:
     identifier and the sequence, and never has references.  Adds `body_type`
     and `body_id`, which validation compares with the path.
     """
-    doc = raw.withColumn("_doc", member(F.col("body"), "data")).drop("body")
-    put = F.col("op") != "delete"
-    doc = doc.select(
-        "*",
-        F.get_json_object("_doc", "$.type").alias("body_type"),
-        F.get_json_object("_doc", "$.id").alias("body_id"),
-        F.coalesce("header_seq", F.get_json_object("_doc", "$.meta.sequenceNumber").cast("bigint")).alias("seq"),
-        F.when(put, _given(member(F.col("_doc"), "attributes"))).alias("attributes"),
-        F.when(put, _given(member(F.col("_doc"), "relationships"))).alias("relationships"),
-        F.when(put, _given(member(F.col("_doc"), "links"))).alias("links"),
-        _given(member(F.col("_doc"), "meta")).isNotNull().alias("_has_meta"),
+    # Only puts carry content; parsing is skipped for deletes but for their sequence.
+    put, doc = F.col("op") != "delete", F.col("_doc")
+    parts = raw.withColumn("_doc", member_doc(parsed(F.col("body")), "data")).drop("body")
+    parts = parts.select(
+        *[c for c in parts.columns if c != "_doc"],
+        string_member(doc, "type").alias("body_type"),
+        string_member(doc, "id").alias("body_id"),
+        F.coalesce("header_seq", F.try_variant_get(doc, "$.meta.sequenceNumber", "bigint")).alias("seq"),
+        F.when(put, _given(member(doc, "attributes"))).alias("attributes"),
+        F.when(put, _given(member(doc, "relationships"))).alias("relationships"),
+        F.when(put, _given(member(doc, "links"))).alias("links"),
+        _given(member(doc, "meta")).isNotNull().alias("_has_meta"),
     )
-    return doc.select(
-        *[c for c in doc.columns if c not in ("_doc", "_has_meta", "header_seq", "links", "path_type", "path_id")],
-        "path_type",
-        "path_id",
+    return parts.select(
+        *[c for c in parts.columns if c not in ("_has_meta", "header_seq", "links")],
         F.col("path_type").alias("type"),
         F.col("path_id").alias("id"),
         (~put).alias("deleted"),
-        _body(F.col("path_type"), F.col("path_id")).alias("canonical_body"),
+        _body(F.col("path_type"), F.col("path_id")).alias("body"),
         F.when(put, relationship_ids(F.col("relationships")))
         .otherwise(F.array().cast(IDENTIFIERS))
         .alias("out_refs"),
-    ).withColumnRenamed("canonical_body", "body")
+    )
 
 
 def _body(type_: Column, id_: Column) -> Column:
@@ -86,7 +85,7 @@ def _body(type_: Column, id_: Column) -> Column:
 
 def explode_batches(batches: DataFrame) -> DataFrame:
     """One raw write per element of `data`, with its position: `(batch_id, pos, ...)`."""
-    items = F.from_json(member(F.col("body"), "data"), "array<string>")
+    items = F.from_json("body", "struct<data:array<string>>")["data"]
     return batches.select("batch_id", "ts", F.posexplode(items).alias("pos", "item")).select(
         "batch_id",
         "pos",

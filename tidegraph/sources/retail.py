@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table ahead of heavy per-row work.
+
+    One small file, often a single row group, is read by one task.  Its rows are
+    dealt out to all cores; a table of many files is left as it is.
+    """
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -100,7 +110,7 @@ def lineitem_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("l_quantity").alias("quantity")).alias("attributes"),
         F.struct(one.alias("order"), many.alias("goods"), none.alias("notes")).alias("relationships"),
     )
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_json(body).alias("body"))
+    return spread_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_json(body).alias("body"))
 
 
 def event_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +124,7 @@ def event_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
         item.alias("relationships"),
     )
     body = F.to_json(F.struct(user.alias("data")))
-    return table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "signup", "delete").otherwise("put").alias("op"),
