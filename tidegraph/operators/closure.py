@@ -83,10 +83,9 @@ def adjacency(links: DataFrame, nodes: DataFrame | None = None, hot_degree: int
 class TableLinks:
     """An edge table stored in hash buckets by target, used as links against the edges.
 
-    For few seeds on a large table: nothing is laid out anew, and the buckets of
-    a small frontier are all that a round reads, as `bucket` is a partition
-    column and the frontier prunes it at run time.  `bucket_of` computes the
-    bucket from columns named like the target's.
+    For few seeds on a large table: nothing is laid out anew, and a round reads
+    only the buckets of its frontier, `bucket` being a partition column.
+    `bucket_of` computes the bucket from columns named like the target's.
     """
 
     edges: DataFrame
@@ -122,8 +121,10 @@ def _messages(adj: Adjacency | TableLinks, frontier: DataFrame) -> DataFrame:
     if isinstance(adj, TableLinks):
         senders = frontier.select(F.col("type").alias("to_type"), F.col("id").alias("to_id"), "value")
         senders = senders.withColumn("bucket", adj.bucket_of)
+        touched = [row[0] for row in senders.select("bucket").distinct().collect()]
         return (
-            adj.edges.join(senders, ["bucket", "to_type", "to_id"])
+            adj.edges.filter(F.col("bucket").isin(touched))
+            .join(senders, ["bucket", "to_type", "to_id"])
             .groupBy(F.col("from_type").alias("type"), F.col("from_id").alias("id"))
             .agg(F.max("value").alias("value"), F.max(F.lit(None).cast("bigint")).alias("known"))
         )

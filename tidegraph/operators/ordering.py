@@ -16,15 +16,18 @@ def _task_count(df: DataFrame) -> int:
 
 
 def with_sequence(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
-    """Number the rows `start + 1, start + 2, ...` in a total order.
+    """Number the rows `start + 1, start + 2, ...` in order; rows that tie are numbered in any order.
 
     The rows are range-partitioned and sorted, and each is numbered within its
-    partition.  Sampled range bounds may differ between runs, so the result is
+    partition.  A last, arbitrary sort key lets a run of ties, too, be split
+    over several ranges.  Sampled range bounds may differ between runs, so the result is
     cut before the partition sizes (one row per partition) are summed up.
     """
     ranged = (
-        df.repartitionByRange(_task_count(df), *order)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(_task_count(df), *order, "_tie")
         .sortWithinPartitions(*order)
+        .drop("_tie")
         .withColumn("_at", F.monotonically_increasing_id())
     )
     ranged = cut(ranged)

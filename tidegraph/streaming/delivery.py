@@ -1,58 +1,99 @@
-"""Serving feeds: acknowledgements in, events out."""
+"""Serving feeds: requests and acknowledgements in, events out."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidegraph.functions.events import deleted_feed_errors, event_line, row_events
 from tidegraph.lineage import cut
-from tidegraph.operators.feeds import ack_progress, apply_acks, check_acks, registry
+from tidegraph.operators.feeds import (
+    ack_progress,
+    apply_acks,
+    check_acks,
+    check_creates,
+    check_deletes,
+    create_feeds,
+    delete_feeds,
+    registry,
+)
 from tidegraph.operators.hydrate import hydrate_each
 from tidegraph.operators.polling import advance, cursors, poll
 from tidegraph.streaming.snapshots import SnapshotStore
 
 
-def process_acks(acks: DataFrame, batch_id: int, root: str, buckets: int = 64) -> None:
-    """One micro-batch of acks: checks them, moves the feeds, and appends real progress to `ack_progress`.
+# Requests of any kind; those of no concern to a kind are NULL.
+REQUESTS = T.StructType(
+    [
+        T.StructField("ord", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("parent_id", T.StringType()),
+        T.StructField("type_filter", T.ArrayType(T.StringType())),
+        T.StructField("ack", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+    ]
+)
 
-    Progress and rejections are written before the registry is published, and a
-    replay replaces them, so nothing is lost or doubled.
+
+def found_feeds(spark: SparkSession, root: str, feeds: DataFrame, buckets: int = 64) -> None:
+    """Publish a registry to start from, ahead of all request batches."""
+    store = SnapshotStore(spark, root, buckets)
+    every = list(range(buckets))
+    store.publish(-1, {"changefeeds": store.stage("changefeeds", feeds, every, -1, ["id"])}, 0)
+
+
+def process_requests(requests: DataFrame, batch_id: int, feeds_root: str, log_root: str, buckets: int = 64) -> None:
+    """One micro-batch of feed requests: creates, then acks, then deletes.
+
+    Appends the outcome of every request, and to `ack_progress` the feeds whose
+    position really moved, which is what their children read by.  The outputs
+    are written before the registry is published and a replay replaces them.
     """
-    store = SnapshotStore(acks.sparkSession, root, buckets)
-    last = store.last_batch()
-    version = (last or 0) + 1
-    done = f"{root}/ack_progress/batch={batch_id}/_SUCCESS"
-    if store._exists(done) and store._exists(f"{root}/acks_done/batch={batch_id}/_SUCCESS"):
+    spark = requests.sparkSession
+    store, log = SnapshotStore(spark, feeds_root, buckets), SnapshotStore(spark, log_root, buckets)
+    if store.done(batch_id):
         return
-    versions = store.versions()
-    feeds = cut(store.read("changefeeds", versions=versions).drop("bucket"))
-    registered = registry(feeds, store.read("history", versions=versions))
-    checked = cut(check_acks(registered, acks))
-    after = cut(apply_acks(feeds, checked))
-    store.append("ack_progress", ack_progress(feeds, after), batch_id)
-    store.append("ack_rejects", checked.filter("outcome <> 'accepted'"), batch_id)
-    touched = store.touched("changefeeds", checked.filter("outcome = 'accepted'").select("id"))
-    moved = after.filter(store.bucket_of("changefeeds").isin(touched)) if touched else after.limit(0)
-    staged = {"changefeeds": store.stage("changefeeds", moved, touched, version, ["id"])}
-    store.publish(version, staged, store.max_seq())
-    store.append("acks_done", acks.select("ord"), batch_id)
-
-
-def start_acks(acks: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    requests = cut(requests)
+    before = cut(store.read("changefeeds").drop("bucket"))
+
+    created = cut(check_creates(before, requests.filter("kind = 'create'")))
+    feeds = cut(create_feeds(before, created))
+    acked = cut(check_acks(registry(feeds, log.read("history")), requests.filter("kind = 'ack'")))
+    moved = cut(apply_acks(feeds, acked))
+    deleted = cut(check_deletes(moved, requests.filter("kind = 'delete'")))
+    after = delete_feeds(moved, deleted)
+
+    outcomes = created.select("id", F.lit("create").alias("kind"), "outcome")
+    outcomes = outcomes.unionByName(acked.select("id", F.lit("ack").alias("kind"), "outcome"))
+    outcomes = outcomes.unionByName(deleted.select("id", F.lit("delete").alias("kind"), "outcome"))
+    store.append("outcomes", outcomes, batch_id)
+    store.append("ack_progress", ack_progress(feeds, moved), batch_id)
+    touched = store.touched("changefeeds", requests)
+    rows = after.filter(store.bucket_of("changefeeds").isin(touched))
+    store.publish(batch_id, {"changefeeds": store.stage("changefeeds", rows, touched, batch_id, ["id"])}, 0)
+
+
+def start_requests(
+    requests: DataFrame, feeds_root: str, log_root: str, checkpoint: str, buckets: int = 64
+) -> StreamingQuery:
     return (
-        acks.writeStream.foreachBatch(lambda batch, batch_id: process_acks(batch, batch_id, root, buckets))
+        requests.writeStream.foreachBatch(
+            lambda batch, batch_id: process_requests(batch, batch_id, feeds_root, log_root, buckets)
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def deliver(store: SnapshotStore, buffer: int, open_cursors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def deliver(
+    log: SnapshotStore, registered: SnapshotStore, buffer: int, open_cursors: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """What every feed gets from the published log, and its cursor afterwards.
 
     Without `open_cursors` all feeds start at their acknowledged position, so
@@ -60,32 +101,26 @@ def deliver(store: SnapshotStore, buffer: int, open_cursors: DataFrame | None =
     their parent has acknowledged.  Events are `(feed, eventType, data,
     message)`; a cursor whose feed was deleted gets one last error.
     """
-    versions = store.versions()
-    feeds = store.read("changefeeds", versions=versions).drop("bucket")
-    history = store.read("history", versions=versions)
-    fresh = cursors(registry(feeds, history), F.lit(buffer))
-    if open_cursors is None:
-        rows = cut(fresh)
-        errors = None
-    else:
-        bounds = fresh.select("id", F.col("parent_max_ack").alias("_bound"))
+    feeds = registered.read("changefeeds").drop("bucket")
+    history = log.read("history")
+    rows = cut(cursors(registry(feeds, history), F.lit(buffer)))
+    gone = None
+    if open_cursors is not None:
+        gone = deleted_feed_errors(open_cursors, feeds).withColumnRenamed("id", "feed")
+        bounds = rows.select("id", F.col("parent_max_ack").alias("_bound"))
         rows = cut(
             open_cursors.join(bounds, "id")
             .withColumn("parent_max_ack", F.greatest("parent_max_ack", "_bound"))
             .select(*open_cursors.columns)
         )
-        errors = deleted_feed_errors(open_cursors, feeds).withColumnRenamed("id", "feed")
     delivered = cut(poll(rows, history))
     events = row_events(delivered, ["feed"])
-    return (events if errors is None else events.unionByName(errors)), advance(rows, delivered)
+    return (events if gone is None else events.unionByName(gone)), advance(rows, delivered)
 
 
 def hydrated(store: SnapshotStore, delivered: DataFrame) -> DataFrame:
     """The documents of delivered resources `(type, id)`: flat rows as of `hydrate_each`."""
-    versions = store.versions()
-    return hydrate_each(
-        store.read("resources", versions=versions), store.read("edges", versions=versions), delivered
-    )
+    return hydrate_each(store.read("resources"), store.read("edges"), delivered)
 
 
 def debounce_stream(

@@ -28,8 +28,7 @@ def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64)
     decide what reaches it.
     """
     store = SnapshotStore(raw.sparkSession, root, buckets)
-    last = store.last_batch()
-    if last is not None and batch_id <= last:
+    if store.done(batch_id):
         return
     raw = cut(raw)
     versions = store.versions()

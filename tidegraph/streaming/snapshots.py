@@ -1,6 +1,7 @@
 """Versioned tables that are published together.
 
-Each table is split into hash buckets.  A batch writes new versions of the
+A store has one writer; the log (resources, edges, history) and the feed
+registry are separate stores.  Each table is split into hash buckets.  A batch writes new versions of the
 buckets it touches and leaves all others; one manifest file, written last, names
 the version of every bucket.  Readers see the state of the newest manifest, and
 running a batch again rewrites the same version, so replays are harmless.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,15 +46,12 @@ class SnapshotStore:
     # Manifests ---------------------------------------------------------------
 
     def _manifests(self) -> DataFrame | None:
-        folder = f"{self.root}/manifest"
-        if not self._exists(folder):
-            return None
-        return self.spark.read.schema(MANIFEST).json(folder)
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        try:
+            return self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def last_batch(self) -> int | None:
         manifests = self._manifests()
@@ -118,6 +117,11 @@ class SnapshotStore:
         filled = {r[0] for r in self.spark.read.schema(schema).parquet(path).select("bucket").distinct().collect()}
         return {bucket: version if bucket in filled else None for bucket in touched}
 
+    def done(self, batch_id: int) -> bool:
+        """Whether a batch is published already, as after a restart."""
+        last = self.last_batch()
+        return last is not None and batch_id <= last
+
     def publish(self, batch_id: int, staged: dict[str, dict[int, int | None]], max_seq: int) -> None:
         """Make the staged buckets current.  One file, moved into place in one step."""
         current = self.versions()
