@@ -75,7 +75,8 @@ def adjacency(links: DataFrame, nodes: DataFrame | None = None, hot_degree: int
     with fixed_partitioning(spark, partitions):
         cold = cut(cold.repartition(partitions, *NODE).sortWithinPartitions(*NODE))
         if nodes is not None:
-            nodes = cut(nodes.select(*NODE).repartition(partitions, *NODE).sortWithinPartitions(*NODE))
+            nodes = nodes.select(*NODE).repartition(partitions, *NODE).dropDuplicates(NODE)
+            nodes = cut(nodes.sortWithinPartitions(*NODE))
     return Adjacency(cold, hot, hubs, nodes, partitions)
 
 
@@ -135,7 +136,9 @@ def _messages(adj: Adjacency | TableLinks, frontier: DataFrame) -> DataFrame:
     arrived = sent.groupBy(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).agg(
         F.max("value").alias("value"), F.max(F.lit(None).cast("bigint")).alias("known")
     )
-    return arrived if adj.nodes is None else arrived.join(adj.nodes.hint("merge"), NODE, "left_semi")
+    # Nodes are unique, so this is a semi join; written as one it would be pushed
+    # below the aggregate and shuffle all links again.
+    return arrived if adj.nodes is None else arrived.join(adj.nodes.hint("merge"), NODE)
 
 
 def _merge(reached: DataFrame | None, arrived: DataFrame) -> DataFrame:
