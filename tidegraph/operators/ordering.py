@@ -11,10 +11,6 @@ from tidegraph.skew import HOT_ROWS, key_load
 PARTITION_BITS = 33
 
 
-def _task_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def with_sequence(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """Number the rows `start + 1, start + 2, ...` in order; rows that tie are numbered in any order.
 
@@ -25,7 +21,7 @@ def with_sequence(df: DataFrame, order: list[str], name: str, start: int = 0) ->
     """
     ranged = (
         df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(_task_count(df), *order, "_tie")
+        .repartitionByRange(*order, "_tie")
         .sortWithinPartitions(*order)
         .drop("_tie")
         .withColumn("_at", F.monotonically_increasing_id())
@@ -53,7 +49,7 @@ def running_count(df: DataFrame, group: list[str], order: list[str], counted: Co
     """
     ranged = cut(
         df.withColumn("_counted", counted.cast("bigint"))
-        .repartitionByRange(_task_count(df), *group, *order)
+        .repartitionByRange(*group, *order)
         .withColumn("_part", F.spark_partition_id())
     )
     totals = ranged.groupBy(*group, "_part").agg(F.sum("_counted").alias("_total"))
