@@ -71,14 +71,15 @@ def test_descriptions_leave_out_absent_values(spark):
     assert docs["child"]["attributes"]["typeFilter"] == ["a"] and "maxEventTime" not in docs["child"]["attributes"]
 
 
-def test_acks_are_bounded_and_monotonic(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 2])
+def test_acks_are_bounded_and_monotonic(spark, hot_rows):
     feeds = feed_table(spark, [("p", None, None, 100), ("c", "p", None, 50), ("idle", "p", None, 9)])
     registered = fd.registry(feeds, log_table(spark, [("a", "1", 500, 1)]))
     acks = spark.createDataFrame(
         [(0, "c", 101, 10), (1, "c", 60, 11), (2, "c", 60, 12), (3, "c", 1, 13), (4, "nobody", 1, 14), (5, "idle", 9, 15)],
         "ord bigint, id string, ack bigint, at bigint",
     ).withColumn("ts", F.timestamp_seconds("at"))
-    checked = fd.check_acks(registered, acks)
+    checked = fd.check_acks(registered, acks, hot_rows)
     assert {r["ord"]: r["outcome"] for r in checked.collect()} == {
         0: "beyond_parent", 1: "accepted", 2: "accepted", 3: "accepted", 4: "unknown", 5: "accepted",
     }

@@ -122,10 +122,11 @@ def test_hydrate_many_shares_and_hydrate_each_does_not(spark):
     assert each == [("0", "data", "0"), ("0", "included", "1"), ("0", "included", "2"), ("1", "data", "1"), ("1", "included", "2")]
 
 
-def test_documents_come_in_parts_that_add_up(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+def test_documents_come_in_parts_that_add_up(spark, hot_rows):
     edges = edge_table(spark, [(0, i) for i in range(1, 41)])
     rows = hydrate_each(resource_table(spark, range(41)), edges, node_table(spark, [0, 1]))
-    parts = documents(rows, part_rows=10)
+    parts = documents(rows, 10, hot_rows)
     found = parts.select(
         "root_id", "part", F.from_json("document", "data struct<id:string>, included array<struct<id:string>>").alias("d")
     ).collect()

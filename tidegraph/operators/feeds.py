@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions.columns import clamp_scalar, iso_utc
+from tidegraph.skew import HOT_ROWS, join_unique
 
 
 def registry(feeds: DataFrame, history: DataFrame) -> DataFrame:
@@ -126,11 +127,10 @@ def delete_feeds(feeds: DataFrame, checked: DataFrame) -> DataFrame:
     return feeds.join(checked.filter("outcome = 'deleted'").select("id"), "id", "left_anti")
 
 
-def check_acks(registered: DataFrame, acks: DataFrame) -> DataFrame:
+def check_acks(registered: DataFrame, acks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Acks `(ord, id, ack, ts)` with `outcome`: accepted, beyond_parent or unknown.
 
-    `registered` has `parent_max_ack`.  Acks that many consumers send for one
-    feed meet a registry of one row per feed, so the registry side is unique.
+    `registered` has `parent_max_ack`.  One feed may get most of the acks.
     """
     bounds = registered.select("id", "parent_max_ack")
     outcome = (
@@ -138,7 +138,8 @@ def check_acks(registered: DataFrame, acks: DataFrame) -> DataFrame:
         .when(F.col("ack") > F.col("parent_max_ack"), "beyond_parent")
         .otherwise("accepted")
     )
-    return acks.join(bounds, "id", "left").select(*acks.columns, "parent_max_ack", outcome.alias("outcome"))
+    bounded = join_unique(acks, bounds, ["id"], hot_rows)
+    return bounded.select(*acks.columns, "parent_max_ack", outcome.alias("outcome"))
 
 
 def apply_acks(feeds: DataFrame, checked: DataFrame) -> DataFrame:

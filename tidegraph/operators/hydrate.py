@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.lineage import cut
 from tidegraph.operators.closure import adjacency, along_edges, closure, closure_each
 from tidegraph.schema import NODE
+from tidegraph.skew import HOT_ROWS, join_unique
 
 
 def live_rows(resources: DataFrame) -> DataFrame:
@@ -23,6 +25,11 @@ def lookup(resources: DataFrame, keys: DataFrame) -> DataFrame:
     return live_rows(resources).join(keys.select(*NODE), NODE, "left_semi")
 
 
+def _heads(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """The keys of the live roots; they start the closure and are part of its result."""
+    return cut(live.select(*NODE).join(roots.select(*NODE).distinct(), NODE, "left_semi"))
+
+
 def hydrate_many(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """One shared document for all roots: `(role, type, id, resource)`.
 
@@ -31,7 +38,7 @@ def hydrate_many(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> Da
     loop carries keys only; bodies are joined at the end.
     """
     live = live_rows(resources)
-    heads = live.join(roots.select(*NODE).distinct(), NODE, "left_semi").select(*NODE)
+    heads = _heads(live, roots)
     reached = closure(adjacency(along_edges(edges), nodes=live), heads, include_seeds=False)
     picked = heads.withColumn("role", F.lit("data")).unionByName(reached.withColumn("role", F.lit("included")))
     return picked.join(live.select(*NODE, "resource"), NODE).select("role", *NODE, "resource")
@@ -40,7 +47,7 @@ def hydrate_many(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> Da
 def hydrate_each(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """One document per live root: `(root_type, root_id, role, type, id, resource)`."""
     live = live_rows(resources)
-    heads = live.join(roots.select(*NODE).distinct(), NODE, "left_semi").select(*NODE)
+    heads = _heads(live, roots)
     enterable = live.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"))
     links = along_edges(edges).join(enterable, ["dst_type", "dst_id"], "left_semi")
     pairs = closure_each(links, heads).withColumn("role", F.lit("included"))
@@ -52,7 +59,7 @@ def hydrate_each(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> Da
     )
 
 
-def documents(rows: DataFrame, part_rows: int = 1000) -> DataFrame:
+def documents(rows: DataFrame, part_rows: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Assemble hydrated rows of `hydrate_each` into JSON documents.
 
     A document with more than about `part_rows` included resources comes in
@@ -66,8 +73,7 @@ def documents(rows: DataFrame, part_rows: int = 1000) -> DataFrame:
     parts = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("size"), F.lit(0)) / part_rows)).cast("int")
     heads = data.select(*root, "data", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     included = (
-        rows.filter("role = 'included'")
-        .join(sizes, root)
+        join_unique(rows.filter("role = 'included'"), sizes, root, hot_rows)
         .withColumn("part", F.pmod(F.xxhash64(*NODE), parts).cast("int"))
         .groupBy(*root, "part")
         .agg(F.sort_array(F.collect_list(F.struct(*NODE, "resource"))).alias("members"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.lineage import cut
+
 # A key is hot above this many rows; and never more than MAX_HOT_KEYS keys are
 # hot, because the bar rises to total / MAX_HOT_KEYS.  That bounds every
 # broadcast of a hot-key table, whatever the size of the data.
@@ -46,3 +48,20 @@ def partitions_for(rows: int, shuffle_partitions: int) -> int:
     small = -(-rows // 50_000)
     large = -(-rows // 2_000_000)
     return max(1, large, min(shuffle_partitions, small))
+
+
+def join_unique(facts: DataFrame, unique: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of a table that may have hot keys with one that has a row per key.
+
+    Adaptive planning splits a skewed join only if nothing after it relies on
+    its partitioning.  Here the rows of hot keys meet a broadcast of their
+    partners, at most one for each of `MAX_HOT_KEYS` keys.
+    """
+    hot = key_load(facts, keys, hot_rows).hot
+    if hot is None:
+        return facts.join(unique, keys, "left")
+    hot = cut(hot)
+    partners = unique.join(F.broadcast(hot), keys, "left_semi")
+    cold = facts.join(F.broadcast(hot), keys, "left_anti").join(unique, keys, "left")
+    heavy = facts.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(partners), keys, "left")
+    return cold.unionByName(heavy)
