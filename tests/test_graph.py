@@ -86,8 +86,9 @@ def test_spread_keeps_the_largest_value(spark, hot_degree):
 def test_links_stored_in_buckets_give_the_same_closure(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(50)]
-    bucket = F.pmod(F.xxhash64("to_type", "to_id"), F.lit(4)).cast("int")
-    stored = edge_table(spark, pairs).withColumn("bucket", bucket)
+    bucket = F.pmod(F.xxhash64("type", "id"), F.lit(4)).cast("int")
+    links = cl.against_edges(edge_table(spark, pairs))
+    stored = links.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), *cl.DST).withColumn("bucket", bucket)
     got = cl.closure(cl.TableLinks(stored, bucket), node_table(spark, [0, 1]))
     assert ids(got) == reach(pairs, [0, 1])
 

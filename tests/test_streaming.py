@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.operators.closure import reverse_closure
 from tidegraph.operators.edges import edges_of
+from tidegraph.operators.hydrate import hydrate_each
 from tidegraph.operators.timing import debounce
 from tidegraph.operators.writes import classify_writes, state_after, write_results
 from tidegraph.schema import CHANGEFEEDS
@@ -191,8 +192,11 @@ def test_feeds_are_served_acknowledged_and_resumed(spark, stored, tmp_path):
 def test_hydrated_delivery(spark, stored):
     _, log = stored
     live = log.read("resources").filter("not deleted").select("type", "id")
-    docs = hydrated(log, live)
-    assert docs.filter("role = 'data'").count() == live.count()
+    resources = log.read("resources").drop("bucket")
+    columns = ["root_id", "role", "id", "resource"]
+    for roots in (live, live.orderBy("id").limit(1)):
+        want = hydrate_each(resources, edges_of(resources), roots)
+        assert rows_of(hydrated(log, roots), *columns) == rows_of(want, *columns)
 
 
 def test_event_lines_are_written_and_streamed(spark, tmp_path):

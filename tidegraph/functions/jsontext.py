@@ -44,7 +44,7 @@ def identifier(type_: Column, id_: Column) -> Column:
 
 
 def relationship_ids(relationships: Column) -> Column:
-    """Distinct identifiers of all relationships (canonical text), sorted by type and id.
+    """Distinct identifiers of all relationships (JSON text), sorted by type and id.
 
     Each relationship holds one identifier or a list under `data`, or no `data`.
     A single identifier parses as a list of one.

@@ -82,14 +82,14 @@ def adjacency(links: DataFrame, nodes: DataFrame | None = None, hot_degree: int
 
 @dataclass(frozen=True)
 class TableLinks:
-    """An edge table stored in hash buckets by target, used as links against the edges.
+    """Links `(type, id, dst_type, dst_id, bucket)` of a table stored in hash buckets by source node.
 
     For few seeds on a large table: nothing is laid out anew, and a round reads
-    only the buckets of its frontier, `bucket` being a partition column.
-    `bucket_of` computes the bucket from columns named like the target's.
+    only the buckets of its frontier, `bucket` being a partition column of the
+    files.  `bucket_of` computes the bucket from `type` and `id`.
     """
 
-    edges: DataFrame
+    links: DataFrame
     bucket_of: Column
 
 
@@ -120,13 +120,12 @@ def spread(adj: Adjacency | TableLinks, seeds: DataFrame, include_seeds: bool =
 def _messages(adj: Adjacency | TableLinks, frontier: DataFrame) -> DataFrame:
     """The best value sent to each node in this round, with no value `known` to it yet."""
     if isinstance(adj, TableLinks):
-        senders = frontier.select(F.col("type").alias("to_type"), F.col("id").alias("to_id"), "value")
-        senders = senders.withColumn("bucket", adj.bucket_of)
+        senders = frontier.select(*NODE, "value", adj.bucket_of.alias("bucket"))
         touched = [row[0] for row in senders.select("bucket").distinct().collect()]
         return (
-            adj.edges.filter(F.col("bucket").isin(touched))
-            .join(senders, ["bucket", "to_type", "to_id"])
-            .groupBy(F.col("from_type").alias("type"), F.col("from_id").alias("id"))
+            adj.links.filter(F.col("bucket").isin(touched))
+            .join(senders, ["bucket", *NODE])
+            .groupBy(F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
             .agg(F.max("value").alias("value"), F.max(F.lit(None).cast("bigint")).alias("known"))
         )
     sent = adj.cold.join(frontier.select(*NODE, "value").hint("merge"), NODE).select(*DST, "value")

@@ -340,7 +340,7 @@ def oracle_queries() -> dict[str, str]:
         "apply_writes_results": _with(_writes(), RESULTS),
         "apply_writes_stored": _with(_writes(stored=True), RESULTS),
         "apply_writes_null_seq": _with(
-            _writes("CASE WHEN event_id % 2 = 0 THEN CAST(props->>'k' AS BIGINT) END"), RESULTS
+            _writes("CASE WHEN event_type NOT IN ('view', 'error') THEN CAST(props->>'k' AS BIGINT) END"), RESULTS
         ),
         "apply_writes_state": _with(
             _writes(stored=True),

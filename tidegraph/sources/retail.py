@@ -8,6 +8,7 @@ suppliers with a negative balance are tombstones without references.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,8 +133,11 @@ def lineitem_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_json(body).alias("body"))
 
 
-def event_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as raw writes to `user/<user_id>`, with sequence `props.k`; sign-ups are deletes."""
+def event_writes(spark: SparkSession, sf_dir: str, unnumbered: Sequence[str] = ()) -> DataFrame:
+    """The events as raw writes to `user/<user_id>`, with sequence `props.k`; sign-ups are deletes.
+
+    Event types in `unnumbered` come without a sequence.
+    """
     k = F.get_json_object("props", "$.k")
     item = F.struct(F.struct(identifier(F.lit("part"), k).alias("data")).alias("item"))
     user = F.struct(
@@ -149,7 +153,7 @@ def event_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "signup", "delete").otherwise("put").alias("op"),
         F.lit("user").alias("path_type"),
         text("user_id").alias("path_id"),
-        k.cast("bigint").alias("header_seq"),
+        F.when(~F.col("event_type").isin(list(unnumbered)), k.cast("bigint")).alias("header_seq"),
         body.alias("body"),
     )
 

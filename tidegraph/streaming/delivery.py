@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tidegraph.functions.events import deleted_feed_errors, event_line, row_events
 from tidegraph.lineage import cut
+from tidegraph.operators.closure import closure
+from tidegraph.operators.edges import edges_of
 from tidegraph.operators.feeds import (
     ack_progress,
     apply_acks,
@@ -23,6 +25,7 @@ from tidegraph.operators.feeds import (
 )
 from tidegraph.operators.hydrate import hydrate_each
 from tidegraph.operators.polling import advance, cursors, poll
+from tidegraph.schema import NODE
 from tidegraph.streaming.snapshots import SnapshotStore
 
 
@@ -119,8 +122,17 @@ def deliver(
 
 
 def hydrated(store: SnapshotStore, delivered: DataFrame) -> DataFrame:
-    """The documents of delivered resources `(type, id)`: flat rows as of `hydrate_each`."""
-    return hydrate_each(store.read("resources"), store.read("edges"), delivered)
+    """The documents of delivered resources `(type, id)`: flat rows as of `hydrate_each`.
+
+    First one shared closure, which reads only the buckets it reaches; then the
+    documents within that part of the graph.
+    """
+    versions = store.versions()
+    roots = cut(delivered.select(*NODE).distinct())
+    reached = cut(closure(store.links_along_edges(versions), roots))
+    buckets = store.touched("resources", reached)
+    part = store.read("resources", buckets, versions).join(reached, NODE, "left_semi")
+    return hydrate_each(part, edges_of(part), roots)
 
 
 def debounce_stream(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegraph.lineage import cut
-from tidegraph.operators.closure import TableLinks
 from tidegraph.operators.edges import apply_edge_diff, edge_diff
 from tidegraph.operators.propagation import compact, propagate
 from tidegraph.operators.validate import split_writes
@@ -51,7 +50,7 @@ def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64)
     versions["edges"] = {b: v for b, v in {**versions["edges"], **staged["edges"]}.items() if v is not None}
 
     changes = captured_changes(classified)
-    links = TableLinks(store.read("edges", versions=versions), store.bucket_of("edges"))
+    links = store.links_against_edges(versions)
     when = raw.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
     fresh = cut(propagate(changes, links, store.max_seq(), datetime.fromtimestamp(when / 1e6, timezone.utc)))
     reached = store.touched("history", fresh)

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.schema import CHANGEFEEDS, EDGES, HISTORY, RESOURCES
+from tidegraph.operators.closure import TableLinks
+from tidegraph.schema import CHANGEFEEDS, EDGES, HISTORY, NODE, RESOURCES
 
 # Table, its row shape, and the columns its buckets are hashed by.  Edges are
 # bucketed by target, the side on which changes arrive.
@@ -36,8 +37,9 @@ class SnapshotStore:
     root: str
     buckets: int = 64
 
-    def bucket_of(self, table: str, prefix: str = "") -> Column:
-        return F.pmod(F.xxhash64(*[F.col(prefix + c) for c in TABLES[table][1]]), F.lit(self.buckets)).cast("int")
+    def bucket_of(self, table: str, columns: list[str] | None = None) -> Column:
+        """The bucket of a key, held in the columns of that table or in those given."""
+        return F.pmod(F.xxhash64(*(columns or TABLES[table][1])), F.lit(self.buckets)).cast("int")
 
     def touched(self, table: str, keys: DataFrame) -> list[int]:
         """The buckets that hold the given keys: at most `buckets` numbers."""
@@ -132,6 +134,25 @@ class SnapshotStore:
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
         manifest.write.mode("overwrite").json(f"{self.root}/manifest/batch_id={batch_id}")
 
+    def links_against_edges(self, versions: dict | None = None) -> TableLinks:
+        """From a resource to its referrers, read from the stored edges."""
+        links = self.read("edges", versions=versions).select(
+            F.col("to_type").alias("type"),
+            F.col("to_id").alias("id"),
+            F.col("from_type").alias("dst_type"),
+            F.col("from_id").alias("dst_id"),
+            "bucket",
+        )
+        return TableLinks(links, self.bucket_of("edges", NODE))
+
+    def links_along_edges(self, versions: dict | None = None) -> TableLinks:
+        """From a live resource to what it refers to, read from the stored resources."""
+        live = self.read("resources", versions=versions).filter(~F.col("deleted"))
+        links = live.select(*NODE, F.explode("out_refs").alias("ref"), "bucket").select(
+            *NODE, F.col("ref.type").alias("dst_type"), F.col("ref.id").alias("dst_id"), "bucket"
+        )
+        return TableLinks(links, self.bucket_of("resources", NODE))
+
     # Append-only outputs -------------------------------------------------------
 
     def append(self, output: str, rows: DataFrame, batch_id: int) -> None:
