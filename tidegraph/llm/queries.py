@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import minhash, mixing, secrets, sharding, toxicity
+from tidegraph.llm import minhash, mixing, pivots, secrets, sharding, toxicity
 from tidegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +34,15 @@ def _minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def registered_queries() -> dict[str, Query]:
     return {
         "op2_secrets": _secrets,
         "op3_mixing": _mixing,
+        "op7_pivots": _pivots,
         "op8_minhash": _minhash,
         "op9_toxicity": _toxicity,
         "op10_sharding": _sharding,
