@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import minhash, mixing, pivots, secrets, sharding, toxicity
+from tidegraph.llm import language, minhash, mixing, pivots, secrets, sharding, toxicity
 from tidegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,16 @@ def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.identify(documents, language.learn(documents))
+
+
 def registered_queries() -> dict[str, Query]:
     return {
         "op2_secrets": _secrets,
         "op3_mixing": _mixing,
+        "op6_language": _language,
         "op7_pivots": _pivots,
         "op8_minhash": _minhash,
         "op9_toxicity": _toxicity,
