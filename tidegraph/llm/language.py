@@ -60,7 +60,7 @@ class Letters:
         self.chars = chars
         self.sums = np.empty(len(chars) + 1, sh.U)
         self.sums[0] = 0
-        np.cumsum(value[chars] * sh.powers(sh._BASE, len(chars)), out=self.sums[1:])
+        np.cumsum(value[chars] * sh.powers(sh.BASE, len(chars)), out=self.sums[1:])
         letter = chars != SEPARATOR
         self.starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
         self.ends = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
@@ -81,34 +81,6 @@ class Letters:
         return sh.span_hashes(self.sums, places - order + 1, places + 1)
 
 
-class Table:
-    """Rows of known hashes by open addressing."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        bits = max(8, int(np.ceil(np.log2(max(1, len(hashes)) * 4))))
-        self.mask = sh.U((1 << bits) - 1)
-        self.keys, self.rows = np.zeros(1 << bits, sh.U), np.full(1 << bits, -1, np.int32)
-        waiting, at = np.arange(len(hashes)), hashes & self.mask
-        while len(waiting):
-            free = self.rows[at] < 0
-            slots, winners = np.unique(at[free], return_index=True)
-            placed = waiting[free][winners]
-            self.keys[slots], self.rows[slots] = hashes[placed], placed
-            left = np.isin(waiting, placed, invert=True)
-            waiting, at = waiting[left], (at[left] + sh.U(1)) & self.mask
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The row of each hash, or -1."""
-        at = hashes & self.mask
-        found = self.rows[at]
-        unsure = np.flatnonzero((found >= 0) & (self.keys[at] != hashes))
-        while len(unsure):
-            at[unsure] = (at[unsure] + sh.U(1)) & self.mask
-            found[unsure] = self.rows[at[unsure]]
-            unsure = unsure[(found[unsure] >= 0) & (self.keys[at[unsure]] != hashes[unsure])]
-        return found
-
-
 class Model:
     """Languages by name, and per order (0: words) the hashes and log frequencies."""
 
@@ -116,9 +88,9 @@ class Model:
         self.languages, self.hashes, self.logs, self.floor = languages, hashes, logs, floor
 
     @property
-    def tables(self) -> list[Table]:
+    def tables(self) -> list[sh.Table]:
         if "_tables" not in self.__dict__:
-            self._tables = [Table(h) for h in self.hashes]
+            self._tables = [sh.Table(h) for h in self.hashes]
         return self._tables
 
     def __getstate__(self) -> dict:

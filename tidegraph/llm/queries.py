@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import language, minhash, mixing, pivots, secrets, sharding, toxicity
+from tidegraph.llm import language, minhash, mixing, pivots, secrets, sentencepieces, sharding, toxicity
 from tidegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepieces.Vocabulary.load(sentencepieces.default_model())
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered_queries() -> dict[str, Query]:
     return {
+        "op1_sentencepieces": _sentencepieces,
         "op2_secrets": _secrets,
         "op3_mixing": _mixing,
         "op6_language": _language,

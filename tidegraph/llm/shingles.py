@@ -14,8 +14,8 @@ U = np.uint64
 WIDTH = 5
 CHUNK_BYTES = 1 << 21
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNDO = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+_UNDO = pow(BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SPACES = np.zeros(256, bool)
@@ -30,7 +30,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _LETTER = mix(np.arange(1, 257, dtype=U))
-_powers = {_BASE: np.ones(1, U), _UNDO: np.ones(1, U)}
+_powers = {BASE: np.ones(1, U), _UNDO: np.ones(1, U)}
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -85,7 +85,7 @@ def running(data: np.ndarray) -> np.ndarray:
     """`running[j] - running[i]`, shifted back, is the polynomial of the bytes from i to j."""
     sums = np.empty(len(data) + 1, U)
     sums[0] = 0
-    np.cumsum(_LETTER[data] * powers(_BASE, len(data)), out=sums[1:])
+    np.cumsum(_LETTER[data] * powers(BASE, len(data)), out=sums[1:])
     return sums
 
 
@@ -124,3 +124,31 @@ def shingle_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
             else:
                 sets.append(np.zeros(0, U))
     return sets
+
+
+class Table:
+    """Rows of known hashes by open addressing."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        bits = max(8, int(np.ceil(np.log2(max(1, len(hashes)) * 4))))
+        self.mask = U((1 << bits) - 1)
+        self.keys, self.rows = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int32)
+        waiting, at = np.arange(len(hashes)), hashes & self.mask
+        while len(waiting):
+            free = self.rows[at] < 0
+            slots, winners = np.unique(at[free], return_index=True)
+            placed = waiting[free][winners]
+            self.keys[slots], self.rows[slots] = hashes[placed], placed
+            left = np.isin(waiting, placed, invert=True)
+            waiting, at = waiting[left], (at[left] + U(1)) & self.mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
+        at = hashes & self.mask
+        found = self.rows[at]
+        unsure = np.flatnonzero((found >= 0) & (self.keys[at] != hashes))
+        while len(unsure):
+            at[unsure] = (at[unsure] + U(1)) & self.mask
+            found[unsure] = self.rows[at[unsure]]
+            unsure = unsure[(found[unsure] >= 0) & (self.keys[at[unsure]] != hashes[unsure])]
+        return found
