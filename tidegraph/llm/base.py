@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,16 @@ def remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` whose workers find this package where the driver found it, also outside its folder.
+
+    A cluster without a common installation gets the package by `--py-files`.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, step: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
     """Run `step` on slices of at most `BATCH_ROWS` rows of each partition, in order."""
 
@@ -35,7 +46,7 @@ def map_rows(df: DataFrame, step: Callable[[pa.Table], pa.Table | None], schema:
                 if out is not None:
                     yield from out.to_batches()
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def texts_of(rows: pa.Table, column: str = "text") -> list[str]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.lineage import cut
-from tidegraph.llm.base import map_rows
+from tidegraph.llm.base import map_batches, map_rows
 from tidegraph.llm.components import components
 
 PIVOTS, NEAREST, SHARED = 256, 7, 3
@@ -216,12 +216,8 @@ def near_vectors(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     group = ["label", "dim", "key", "first", "second"]
     filled = placed.join(vectors.select("node", "copies", "embedding", "top"), "node")
-    found = cut(
-        filled.select(*group, "block", "node", "copies", "embedding", "top")
-        .repartition(*group)
-        .sortWithinPartitions(*group)
-        .mapInArrow(_links, "a long, b long, n long")
-    )
+    dealt = filled.select(*group, "block", "node", "copies", "embedding", "top").repartition(*group)
+    found = cut(map_batches(dealt.sortWithinPartitions(*group), _links, "a long, b long, n long"))
     counts = found.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     joined = components(found.filter("n < 0").select("a", "b"))
     told = (
