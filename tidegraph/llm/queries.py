@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import language, minhash, mixing, pivots, secrets, sentencepieces, sharding, toxicity
+from tidegraph.llm import language, minhash, mixing, pivots, secrets, sentencepieces, sharding, toxicity, warc
 from tidegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "n_requests", "n_metadata"]
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(*told)
+
+
 def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.identify(documents, language.learn(documents))
@@ -53,6 +58,7 @@ def registered_queries() -> dict[str, Query]:
         "op1_sentencepieces": _sentencepieces,
         "op2_secrets": _secrets,
         "op3_mixing": _mixing,
+        "op5_warc": _warc,
         "op6_language": _language,
         "op7_pivots": _pivots,
         "op8_minhash": _minhash,
