@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.lineage import shared_folder
-from tidegraph.llm import mixing, secrets, toxicity
+from tidegraph.llm import minhash, mixing, secrets, sentencepieces, toxicity
 from tidegraph.llm.base import table
 
 
@@ -14,6 +16,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    return minhash.without_copies(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; every document stays."""
     return secrets.redacted(docs)
@@ -24,14 +31,25 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs).select(*docs.columns)
 
 
-STAGES = [("toxicity", toxicity_stage), ("secrets", secrets_stage), ("mixing", mixing_stage)]
-ORACLE_SQL = None
+def sentencepieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become piece ids with their N best segmentations; the ids decode to the very texts."""
+    return sentencepieces.encode(docs, sentencepieces.Vocabulary.load(sentencepieces.default_model()))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("minhash", minhash_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+    ("sentencepieces", sentencepieces_stage),
+]
+ORACLE_SQL = None  # learned scores, hashed signatures and segmentations are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs):x}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for step, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{step}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)

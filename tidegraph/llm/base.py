@@ -26,13 +26,16 @@ def remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow` whose workers find this package where the driver found it, also outside its folder.
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, also outside its folder.
 
     A cluster without a common installation gets the package by `--py-files`.
     """
-    environment = df.sparkSession.sparkContext.environment
-    environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    find_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegraph.llm import language, minhash, mixing, pivots, secrets, sentencepieces, sharding, toxicity, warc
+from tidegraph.llm import hilbert, language, minhash, mixing, pivots, secrets, sentencepieces, sharding, toxicity, warc
 from tidegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,10 @@ def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def _hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "n_requests", "n_metadata"]
     return warc.round_trip(table(spark, sf_dir, "pages")).select(*told)
@@ -58,6 +63,7 @@ def registered_queries() -> dict[str, Query]:
         "op1_sentencepieces": _sentencepieces,
         "op2_secrets": _secrets,
         "op3_mixing": _mixing,
+        "op4_hilbert": _hilbert,
         "op5_warc": _warc,
         "op6_language": _language,
         "op7_pivots": _pivots,
