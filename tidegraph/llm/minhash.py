@@ -12,7 +12,8 @@ all its pairs.  Three exact bounds hold the work down however large a bucket is:
 shingles no other candidate has (they can't be shared), and known components.
 In a first round each bucket compares its members with one pivot, the one with the least part
 of its own.  After that only pairs across components that the bounds
-leave open are compared.  No bucket is capped and no pair is sampled.
+leave open are compared, through their differences from a common third set, which are small among near copies.
+No bucket is capped and no pair is sampled.
 
 A null or empty text has the empty set and links with nothing.  Rows without an id
 link with nothing and have no component.  Rows that share an id are one document for linking.
@@ -147,7 +148,7 @@ def links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     )
     first = cut(_verified(pairs, sets))
 
-    # Round 2: what the bounds leave open across components, each bucket's minorities against all of it.
+    # Round 2: each bucket's minorities against all of it, by their exact differences from the major component's least member.
     known = components(first)
     placed = cut(
         held.join(known, "node", "left").select(
@@ -156,20 +157,38 @@ def links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     )
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
     major = sizes.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("m"), F.count(F.lit(1)).alias("_parts"))
-    mixed = major.filter("_parts > 1").select("key", F.col("m.component").alias("major"))
-    minor = placed.join(mixed, "key").filter("component <> major").drop("major")
-    other = placed.select("key", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "own", "component")))
-    rest = (
-        minor.join(
-            other,
-            (minor["key"] == other["key"])
-            & (F.col("component") != F.col("_component"))
-            & _open(F.col("n"), F.col("own"), F.col("_n"), F.col("_own")),
+    mixed = placed.join(major.filter("_parts > 1").select("key", F.col("m.component").alias("major")), "key")
+    told = cut(mixed.join(_differences(mixed.select("node", "major").distinct(), sets), ["node", "major"]))
+    minor, other = told.filter("component <> major"), told.toDF(*(f"_{c}" for c in told.columns))
+    apart = (minor["key"] == other["_key"]) & (F.col("component") != F.col("_component"))
+    bounds = _open(F.col("n"), F.col("own"), F.col("_n"), F.col("_own"))
+    rest = minor.join(other, apart & bounds & _reaches_by_differences())
+    return first.unionByName(cut(rest.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()))
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of each pair (node, major): the size of major's set, what of it node lacks, and what node has beyond it."""
+    reference = sets.select(F.col("node").alias("major"), F.col("set").alias("_whole"))
+    return (
+        pairs.join(reference, "major")
+        .join(sets, "node")
+        .select(
+            "node",
+            "major",
+            F.size("_whole").alias("whole"),
+            F.array_except("_whole", "set").alias("gone"),
+            F.array_except("set", "_whole").alias("came"),
         )
-        .select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
-        .distinct()
     )
-    return first.unionByName(cut(_verified(rest, sets)))
+
+
+def _reaches_by_differences() -> Column:
+    """Whether two sets told by their differences from the same third one reach the threshold, exactly."""
+    n, many, few = F.col("n") + F.col("_n"), F.size, F.least
+    most = F.col("whole") - F.greatest(many("gone"), many("_gone")) + few(many("came"), many("_came"))
+    both_gone = many("gone") + many("_gone") - many(F.array_intersect("gone", "_gone"))
+    shared = F.col("whole") - both_gone + many(F.array_intersect("came", "_came"))
+    return (100 * most >= PERCENT * (n - most)) & (100 * shared >= PERCENT * (n - shared))
 
 
 def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
