@@ -2,9 +2,9 @@
 
 Vectors are rotated at random, projected to `AXES` coordinates, shifted and ordered along a Hilbert
 curve, several times with other rotations and shifts.  Spark range-partitions every
-ordering by curve key and numbers it, which cuts it into cells of `CELL` vectors.  A query meets the
-cells within its window of each ordering, each with its best candidates; these merge
-and are ranked by their exact inner product in double precision.
+ordering by curve key and numbers it, which cuts it into `CELLS` cells of equal size.  A query meets the
+cells within its window of each ordering; a cell's vectors stream past a block of queries, which keeps the best
+so far, and the cells' best merge and are ranked by their exact inner product in double precision.
 
 `window` is the share of an ordering that a query looks at.  Clustered data needs
 little of it.  Vectors spread evenly in 64 dimensions have no neighbourhood that a few
@@ -17,6 +17,7 @@ vectors of unequal length don't meet.  Rows that share an id count as one, with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import erf
 
 import numpy as np
@@ -26,13 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.lineage import cut
-from tidegraph.llm.base import find_package, map_rows
+from tidegraph.llm.base import map_batches, map_rows
 from tidegraph.llm.pivots import matrix, usable
 from tidegraph.operators.ordering import with_sequence
 
 CURVES, AXES, BITS = 3, 4, 15
 WINDOW = 0.55
-CELL, QUERY_BLOCK = 2048, 4096
+CELLS, QUERY_BLOCK = 16, 4096
 NEAREST = 20
 SAMPLE = 4096
 _erf = np.vectorize(erf, otypes=[float])
@@ -116,14 +117,23 @@ def _keyed(vectors: DataFrame, curves: dict[int, list[Curve]], count: int) -> Da
     return map_rows(vectors.select("vec_id", "embedding"), step, "vec_id long, dim int, curve int, key long")
 
 
-def _best(queries: pa.Table, candidates: pa.Table, nearest: int) -> pa.Table:
-    """The nearest candidates of a cell for each of its queries."""
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    if not len(queries) or not len(candidates):
-        return empty
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _nearest(found: Found, nearest: int) -> Found:
+    """Of (query, candidate, score) the nearest per query."""
+    query, candidate, score = found
+    order = np.lexsort([candidate, -score, query])
+    query, candidate, score = query[order], candidate[order], score[order]
+    first = np.arange(len(query)) - np.searchsorted(query, query) < nearest
+    return query[first], candidate[first], score[first]
+
+
+def _best(queries: pa.Table, candidates: pa.Table, nearest: int) -> Found:
+    """The nearest of some candidates for each query."""
     dim = queries["dim"][0].as_py()
     q, c = matrix(queries["embedding"], dim), matrix(candidates["embedding"], dim)
-    q_id, c_id = queries["query_id"].to_numpy(), candidates["vec_id"].to_numpy()
+    q_id, c_id = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
     rough = q @ c.T
     rough[q_id[:, None] == c_id[None, :]] = -np.inf
     if len(c_id) > nearest:
@@ -133,11 +143,34 @@ def _best(queries: pa.Table, candidates: pa.Table, nearest: int) -> pa.Table:
         close = np.ones(rough.shape, bool)
     row, column = np.nonzero(close & (rough > -np.inf))
     score = np.einsum("kd,kd->k", q[row], c[column])  # the same sum for equal vectors, wherever they stand
-    order = np.lexsort([c_id[column], -score, row])
-    row, column, score = row[order], column[order], score[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    first = rank < nearest
-    return pa.table({"query_id": q_id[row[first]], "vec_id": c_id[column[first]], "score": score[first]})
+    return _nearest((q_id[row], c_id[column], score), nearest)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
+    """Cells of a sorted partition: first a cell's queries, at most about `QUERY_BLOCK`, then its vectors in batches."""
+    names, schema = ["dim", "curve", "cell", "block"], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    key, queries, found = None, [], None
+
+    def told() -> Iterator[pa.RecordBatch]:
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        keys = np.stack([rows[c].to_numpy() for c in [*names, "candidate"]], axis=1).astype(np.int64)
+        starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1) if len(rows) else []
+        for i, j in zip(starts, [*starts[1:], len(rows)], strict=True):
+            if key != tuple(keys[i, :-1]):
+                yield from told()
+                key, queries, found = tuple(keys[i, :-1]), [], None
+            part = rows.slice(i, j - i)
+            if not keys[i, -1]:
+                queries.append(part)
+            elif queries:
+                queries = [pa.concat_tables(queries).combine_chunks()]
+                best = _best(queries[0], part.combine_chunks(), nearest)
+                found = best if found is None else _nearest(tuple(map(np.concatenate, zip(found, best, strict=True))), nearest)
+    yield from told()
 
 
 def nearest_vectors(
@@ -146,10 +179,9 @@ def nearest_vectors(
     nearest: int = NEAREST,
     window: float = WINDOW,
     curves: int = CURVES,
-    cell: int = CELL,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Per query (query_id, rank, vec_id, score): its `nearest` nearest found, by inner product, ties to the smaller id."""
-    find_package(embeddings.sparkSession)
     vectors = cut(
         embeddings.filter(F.expr(usable("embedding")) & F.col("vec_id").isNotNull())
         .groupBy(F.col("vec_id").cast("long").alias("vec_id"))
@@ -169,23 +201,25 @@ def nearest_vectors(
     blocks = max(1, -(-vectors.filter(is_query).count() // QUERY_BLOCK))
     group = ["dim", "curve", "cell", "block"]
     queries = asked.select(
-        F.col("vec_id").alias("query_id"),
+        "vec_id",
         "dim",
         "curve",
-        "embedding",
+        F.explode(F.sequence(F.floor(low * cells / F.col("rows")), F.floor((low + wide - 1) * cells / F.col("rows")))).alias("cell"),
         F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.floor(low / cell), F.floor((low + wide - 1) / cell))).alias("cell"),
+        F.lit(False).alias("candidate"),
+        "embedding",
     )
     candidates = placed.join(vectors, "vec_id").select(
-        *(F.col(c).alias(c) for c in ("vec_id", "dim", "curve", "embedding")),  # columns apart from those of the queries
-        F.floor(F.col("rank") / cell).alias("cell"),
+        "vec_id",
+        "dim",
+        "curve",
+        F.floor(F.col("rank") * cells / F.col("rows")).alias("cell"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.lit(True).alias("candidate"),
+        "embedding",
     )
-    found = (
-        queries.groupBy(*group)
-        .cogroup(candidates.groupBy(*group))
-        .applyInArrow(lambda q, c: _best(q, c, nearest), "query_id long, vec_id long, score double")
-    )
+    dealt = queries.unionByName(candidates).repartition(*group).sortWithinPartitions(*group, "candidate")
+    found = map_batches(dealt, lambda rows: _streamed(rows, nearest), "query_id long, vec_id long, score double")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # A candidate comes once per curve at most, so this many rows hold the nearest; Spark cuts to them before the shuffle.
     few = found.withColumn("_at", F.row_number().over(by_score)).filter(F.col("_at") <= nearest * curves)
