@@ -1,13 +1,14 @@
 """Closures, hydration and edges against brute force on small graphs."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.operators import closure as cl
-from tidegraph.operators.edges import apply_edge_diff, edge_diff, edges_of, incoming
-from tidegraph.operators.hydrate import documents, hydrate_each, hydrate_many, lookup
+from tidegraph.operators.edges import apply_edge_diff, edge_diff, edges_of, incoming, incoming_documents
+from tidegraph.operators.hydrate import documents, hydrate_each, hydrate_many, list_document, lookup
 from tidegraph.operators.propagation import compact, propagate
 
 EDGE = "from_type string, from_id string, to_type string, to_id string"
@@ -123,18 +124,18 @@ def test_hydrate_many_shares_and_hydrate_each_does_not(spark):
     assert each == [("0", "data", "0"), ("0", "included", "1"), ("0", "included", "2"), ("1", "data", "1"), ("1", "included", "2")]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
-def test_documents_come_in_parts_that_add_up(spark, hot_rows):
-    edges = edge_table(spark, [(0, i) for i in range(1, 41)])
-    rows = hydrate_each(resource_table(spark, range(41)), edges, node_table(spark, [0, 1]))
-    parts = documents(rows, 10, hot_rows)
-    found = parts.select(
-        "root_id", "part", F.from_json("document", "data struct<id:string>, included array<struct<id:string>>").alias("d")
-    ).collect()
-    assert sorted(r["part"] for r in found if r["root_id"] == "0") == [0, 1, 2, 3]
-    assert all(r["d"]["data"]["id"] == r["root_id"] for r in found)
-    assert sorted(int(i["id"]) for r in found if r["root_id"] == "0" for i in r["d"]["included"]) == list(range(1, 41))
-    assert [len(r["d"]["included"]) for r in found if r["root_id"] == "1"] == [0]
+def test_a_root_has_one_document_of_any_size(spark):
+    edges = edge_table(spark, [(0, i) for i in range(1, 1501)])
+    resources = resource_table(spark, range(1501))
+    rows = documents(hydrate_each(resources, edges, node_table(spark, [0, 1])))
+    shape = "data struct<id:string>, included array<struct<id:string>>"
+    found = {r["root_id"]: r["d"] for r in rows.select("root_id", F.from_json("document", shape).alias("d")).collect()}
+    assert all(d["data"]["id"] == root for root, d in found.items())
+    assert [i["id"] for i in found["0"]["included"]] == sorted(map(str, range(1, 1501))) and found["1"]["included"] == []
+    whole = list_document(hydrate_many(resources, edges, node_table(spark, [0, 1, 9999]))).first()["document"]
+    assert [len(json.loads(whole)[k]) for k in ("data", "included")] == [2, 1500]
+    none = list_document(hydrate_many(resources, edges, node_table(spark, [9999]))).first()["document"]
+    assert json.loads(none) == {"data": [], "included": []}
 
 
 def test_incoming_needs_a_live_target_and_live_referrers(spark):
@@ -145,6 +146,10 @@ def test_incoming_needs_a_live_target_and_live_referrers(spark):
         [("a", "1", False, "{}"), ("a", "2", True, "{}"), ("b", "3", False, "{}"), ("n", "0", False, "{}"), ("n", "5", True, "{}")],
         "type string, id string, deleted boolean, resource string",
     )
+    bare = incoming_documents(resources, edges, node_table(spark, [0, 5, 9]), "b").select("role", "type", "id")
+    assert sorted(map(tuple, bare.collect())) == [("data", "n", "0"), ("included", "b", "3")]
+    bare = incoming_documents(resources, edges, node_table(spark, [0]), "z").select("role", "type", "id")
+    assert sorted(map(tuple, bare.collect())) == [("data", "n", "0")]
     got = incoming(resources, edges, node_table(spark, [0, 5, 9]), "a")
     assert [(r["to_id"], r["from_id"]) for r in got.collect()] == [("0", "1")]
     assert lookup(resources, node_table(spark, [0, 5, 9])).count() == 1

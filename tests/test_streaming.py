@@ -24,7 +24,6 @@ from tidegraph.streaming.delivery import (
     hydrated,
     process_requests,
     start_requests,
-    with_keepalives,
 )
 from tidegraph.streaming.propagation import process_writes, start_propagation
 from tidegraph.streaming.snapshots import SnapshotStore
@@ -87,7 +86,7 @@ def stored(spark, tmp_path_factory):
 
 def test_stream_state_equals_one_batch_over_all_writes(spark, stored):
     base, store = stored
-    assert store.last_batch() == 2
+    assert store.last_version() == 2
     classified = classify_writes(None, normalise(read_writes(spark, str(base / "in"))))
     whole = state_after(classified)
     columns = ["type", "id", "deleted", "resource", "sequence_number", "created", "updated"]
@@ -107,17 +106,32 @@ def test_stream_log_has_one_fresh_number_per_resource(stored):
     log = store.read("history")
     assert log.count() == log.select("type", "id").distinct().count() == log.select("seq").distinct().count()
     assert log.agg(F.max("seq")).first()[0] == store.max_seq()
-    marks = rows_of(store.high_water_marks(), "batch_id", "max_seq")
+    marks = rows_of(store.high_water_marks(), "version", "max_seq")
     assert [m[1] for m in marks] == sorted({m[1] for m in marks})
 
 
 def test_replaying_a_batch_changes_nothing(spark, stored):
     base, store = stored
     before = rows_of(store.read("history"), "type", "id", "seq")
-    process_writes(read_writes(spark, str(base / "in" / "2.json")), 2, str(base / "store"), 4)
+    process_writes(read_writes(spark, str(base / "in" / "2.json")), 2, str(base / "store"), 4, str(base / "checkpoint"))
     assert rows_of(store.read("history"), "type", "id", "seq") == before
 
 
+def test_another_checkpoint_is_another_writer(spark, tmp_path):
+    """Batches that start from 0 again under a new checkpoint are no replays; the store keeps its own bucket count."""
+    for k, name in enumerate(["a", "b", "c"]):
+        write_file(tmp_path / f"in{k}", "0.json", [put(k, "n", name, 1, {"v": 1})])
+    root = str(tmp_path / "store")
+    for k, (batch, buckets, writer) in enumerate([(0, 4, "first"), (1, 64, "first"), (0, 64, "second"), (0, 4, "second")]):
+        process_writes(read_writes(spark, str(tmp_path / f"in{min(k, 2)}")), batch, root, buckets, writer)
+    store = SnapshotStore(spark, root)
+    assert rows_of(store.read("resources"), "id") == [("a",), ("b",), ("c",)]
+    write_file(tmp_path / "again", "0.json", [put(9, "n", "a", 2, {"v": 2})])
+    process_writes(read_writes(spark, str(tmp_path / "again")), 1, root, 64, "second")
+    assert rows_of(store.output("results").filter("ord = 9"), "result") == [("Updated",)]
+    assert store.read("resources").count() == 3
+
+
 def test_change_reaches_referrers_only(spark, tmp_path):
     """A change of the parent renumbers its child and grandchild, and nobody else."""
     root = str(tmp_path / "store")
@@ -201,14 +215,15 @@ def test_hydrated_delivery(spark, stored):
 
 def test_event_lines_are_written_and_streamed(spark, tmp_path):
     rows = spark.createDataFrame(
-        [("foo", "bar", 0, "2017-09-21 06:00:00"), ("fizz", "buzz", 1, "2017-02-21 12:00:00"), ("hello", "world", 2, "2016-10-21 18:00:00")],
+        [("lamp", "l1", 5, "2024-03-01 00:00:01"), ("desk", "d2", 6, "2024-03-01 00:00:02"), ("lamp", "l3", 9, "2024-03-01 00:00:03")],
         "type string, id string, seq bigint, event_time string",
     ).withColumn("event_time", F.col("event_time").cast("timestamp"))
-    want = [
-        '{"eventType":"event","data":{"type":"fizz","id":"buzz","seq":1,"eventTime":1487678400000}}',
-        '{"eventType":"event","data":{"type":"foo","id":"bar","seq":0,"eventTime":1505973600000}}',
-        '{"eventType":"event","data":{"type":"hello","id":"world","seq":2,"eventTime":1477072800000}}',
-    ]
+    # Member names are fixed values of the line format.
+    line = '{"eventType":"event","data":{"type":"%s","id":"%s","seq":%d,"eventTime":%d}}'
+    start = 1_709_251_200_000
+    want = sorted(
+        line % (t, i, seq, start + 1000 * k) for t, i, seq, k in [("lamp", "l1", 5, 1), ("desk", "d2", 6, 2), ("lamp", "l3", 9, 3)]
+    )
     write_events(row_events(rows), str(tmp_path / "batch"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "batch")).collect()) == want
     rows.write.parquet(str(tmp_path / "rows"))
@@ -237,27 +252,3 @@ def test_streamed_debounce_equals_batch_for_closed_bursts(spark, tmp_path):
     want = debounce(events, ["user_id"], "ts", "event_id", 6 * 3_600_000_000, eager)
     got = spark.read.parquet(str(tmp_path / "out")).filter("user_id >= 0")
     assert rows_of(got, "event_id") == rows_of(want, "event_id")
-
-
-def test_keepalives_fill_silence(spark, tmp_path):
-    rows = spark.createDataFrame(
-        [("f", "event", None, None)], "feed string, eventType string, data struct<type:string,id:string,seq:bigint,eventTime:bigint>, message string"
-    )
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    query = (
-        with_keepalives(stream, 1000)
-        .writeStream.format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "cp"))
-        .outputMode("append")
-        .trigger(processingTime="500 milliseconds")
-        .start()
-    )
-    try:
-        query.awaitTermination(25)
-    finally:
-        query.stop()
-    lines = [r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert lines.count('{"eventType":"event"}') == 1
-    assert lines.count('{"eventType":"keepalive"}') >= 2

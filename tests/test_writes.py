@@ -134,13 +134,24 @@ def test_deleting_an_unknown_key_leaves_a_tombstone(spark):
 
 def test_conflicts_are_reported_by_position(spark):
     results = spark.createDataFrame(
-        [(1, i, "foo", f"bar{i}", "OutOfSequence" if i in (3, 5) else "Created") for i in range(6)],
+        [(1, i, "crate", f"c{i}", "OutOfSequence" if i in (0, 4) else "Created") for i in range(7)],
         "batch_id bigint, pos bigint, type string, id string, result string",
     )
     report = sorted(map(tuple, wr.conflict_report(results).select("pointer", "detail").collect()))
-    assert report == [("/data(3)", '{"type":"foo","id":"bar3"}'), ("/data(5)", '{"type":"foo","id":"bar5"}')]
+    assert report == [("/data(0)", '{"type":"crate","id":"c0"}'), ("/data(4)", '{"type":"crate","id":"c4"}')]
     tally = wr.result_tally(results, ["batch_id"]).first()
-    assert (tally["Created"], tally["OutOfSequence"], tally["conflict"]) == (4, 2, True)
+    assert (tally["Created"], tally["OutOfSequence"], tally["conflict"]) == (5, 2, True)
+
+
+def test_ids_may_hold_any_character(spark, tmp_path):
+    ids = ["a\u2028b", "c\u0085d", 'q"\\', "n\nl", "🙂"]
+    lines = [
+        {"ord": k, "op": "put", "path_type": "n", "path_id": i, "body": json.dumps({"data": {"type": "n", "id": i, "meta": {"sequenceNumber": 1.7}}})}
+        for k, i in enumerate(ids)
+    ]
+    (tmp_path / "w.json").write_text("\n".join(map(json.dumps, lines)))
+    rows = normalise(read_writes(spark, str(tmp_path))).orderBy("ord").collect()
+    assert [json.loads(r["body"])["id"] for r in rows] == ids and {r["seq"] for r in rows} == {None}
 
 
 def test_header_sequence_overrides_the_body(spark, tmp_path):
@@ -156,11 +167,11 @@ def test_header_sequence_overrides_the_body(spark, tmp_path):
 
 
 def test_batches_keep_positions_and_item_sequences(spark, tmp_path):
-    items = [{"type": "n", "id": "a", "meta": {"sequenceNumber": 19}}, {"type": "n", "id": "b", "meta": {"sequenceNumber": 20}}, {"type": "n", "id": "c"}]
+    items = [{"type": "n", "id": "a", "meta": {"sequenceNumber": 31}}, {"type": "n", "id": "b", "meta": {"sequenceNumber": 8}}, {"type": "n", "id": "c"}]
     (tmp_path / "b.json").write_text(json.dumps({"batch_id": 1, "body": json.dumps({"data": items})}))
     assert read_batches(spark, str(tmp_path)).schema == RAW_BATCHES
     rows = normalise(explode_batches(read_batches(spark, str(tmp_path)))).orderBy("pos").collect()
-    assert [(r["pos"], r["id"], r["seq"]) for r in rows] == [(0, "a", 19), (1, "b", 20), (2, "c", None)]
+    assert [(r["pos"], r["id"], r["seq"]) for r in rows] == [(0, "a", 31), (1, "b", 8), (2, "c", None)]
 
 
 def test_canonical_text_and_members(spark):
@@ -175,8 +186,10 @@ def test_canonical_text_and_members(spark):
 def test_relationship_ids_are_distinct_and_sorted(spark):
     text = json.dumps(
         {
-            "editors": {"data": [{"type": "person", "id": "9"}, {"type": "person", "id": "10"}, {"type": "wookiee", "id": "1"}]},
-            "author": {"data": {"type": "person", "id": "9"}},
+            "stops": {"data": [{"type": "depot", "id": "9"}, {"type": "depot", "id": "10"}, {"type": "ship", "id": "1"}]},
+            "owner": {"data": {"type": "depot", "id": "9"}},
+            "odd": 5,
+            "wrong": {"data": [{"type": "depot", "id": 9}, {"type": "depot", "id": {"k": 1}}, "x"]},
             "none": {"links": {"self": "x"}},
             "empty": {"data": []},
             "null": {"data": None},
@@ -184,4 +197,4 @@ def test_relationship_ids_are_distinct_and_sorted(spark):
     )
     df = spark.createDataFrame([(text,), (None,)], "t string").select(relationship_ids(F.col("t")).alias("ids"))
     rows = [[tuple(i) for i in r["ids"]] for r in df.collect()]
-    assert rows == [[("person", "10"), ("person", "9"), ("wookiee", "1")], []]
+    assert rows == [[("depot", "10"), ("depot", "9"), ("ship", "1")], []]

@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IDENTIFIERS = "array<struct<type:string,id:string>>"
-RELATIONSHIPS = "map<string,struct<data:string>>"
 
 
 def parsed(text: Column) -> Column:
@@ -47,13 +46,22 @@ def relationship_ids(relationships: Column) -> Column:
     """Distinct identifiers of all relationships (JSON text), sorted by type and id.
 
     Each relationship holds one identifier or a list under `data`, or no `data`.
-    A single identifier parses as a list of one.
+    Members that are of another kind hold no identifiers and hide no others; types and ids are strings only.
     """
-    per_relationship = F.transform(
-        F.map_values(F.from_json(relationships, RELATIONSHIPS)),
-        lambda r: F.coalesce(F.from_json(r["data"], IDENTIFIERS), F.array().cast(IDENTIFIERS)),
+
+    def text(value: Column, name: str) -> Column:
+        held = F.try_variant_get(value, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(held) == "STRING", F.try_variant_get(held, "$", "string"))
+
+    def ids(value: Column) -> Column:
+        data = F.try_variant_get(value, "$.data", "variant")
+        listed = F.coalesce(F.try_variant_get(data, "$", "array<variant>"), F.array(data))
+        return F.transform(listed, lambda i: identifier(text(i, "type"), text(i, "id")))
+
+    members = F.map_values(F.try_variant_get(parsed(relationships), "$", "map<string,variant>"))
+    found = F.filter(
+        F.flatten(F.transform(members, ids)), lambda r: r["type"].isNotNull() & r["id"].isNotNull()
     )
-    found = F.filter(F.flatten(per_relationship), lambda r: r["type"].isNotNull() & r["id"].isNotNull())
     return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast(IDENTIFIERS))
 
 

@@ -55,6 +55,26 @@ def apply_edge_diff(edges: DataFrame, diff: DataFrame) -> DataFrame:
     return edges.join(stale, columns, "left_anti").unionByName(added).dropDuplicates(columns)
 
 
+def incoming_documents(resources: DataFrame, edges: DataFrame, targets: DataFrame, incoming_type: str) -> DataFrame:
+    """Each live target with its live direct referrers: `(to_type, to_id, role, type, id, resource)`.
+
+    `role` is `data` for the target, which is there also without referrers, and `included` for a referrer.
+    """
+    live = resources.filter(~F.col("deleted")).select(*NODE, "resource")
+    own = live.join(targets.select(*NODE).distinct(), NODE, "left_semi").select(
+        F.col("type").alias("to_type"), F.col("id").alias("to_id"), F.lit("data").alias("role"), *NODE, "resource"
+    )
+    referrers = incoming(resources, edges, targets, incoming_type).select(
+        "to_type",
+        "to_id",
+        F.lit("included").alias("role"),
+        F.col("from_type").alias("type"),
+        F.col("from_id").alias("id"),
+        "resource",
+    )
+    return own.unionByName(referrers)
+
+
 def incoming(resources: DataFrame, edges: DataFrame, targets: DataFrame, incoming_type: str) -> DataFrame:
     """Live direct referrers of `incoming_type` for each live target `(type, id)`.
 

@@ -1,6 +1,7 @@
 """The changefeed registry and acknowledgements.
 
-Batches of requests are checked against the registry as it was before the batch.
+Requests of a kind are judged in the order of `ord`, each against what the earlier ones left,
+so it does not matter where a stream of them is cut into batches.
 """
 
 from __future__ import annotations
@@ -9,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions.columns import clamp_scalar, iso_utc
+from tidegraph.lineage import cut
+from tidegraph.operators.ordering import previous_best
 from tidegraph.skew import HOT_ROWS, join_unique
 
+EVER = -(1 << 63)
+
 
 def registry(feeds: DataFrame, history: DataFrame) -> DataFrame:
     """Feeds with `parent_max_ack` and `max_event_time`.
@@ -76,22 +81,27 @@ def describe(rows: DataFrame) -> DataFrame:
 def check_creates(feeds: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests `(ord, id, type_filter, parent_id, ts)` with `outcome`: created, duplicate or unknown_parent.
 
-    Of several requests for one id, the first by `ord` counts.
+    A request is a duplicate only of a feed that exists or of an earlier request that succeeded.
+    A parent may be created by an earlier request.  One round per level of new
+    parents moves the time a feed comes to exist to the earliest request that can succeed.
     """
-    existing = feeds.select("id", F.lit(True).alias("_exists"))
-    parents = feeds.select(F.col("id").alias("parent_id"), F.lit(True).alias("_parent_exists"))
-    first = requests.groupBy("id").agg(F.min("ord").alias("_first"))
+    requests = cut(requests)
+    existing = cut(feeds.select("id", F.lit(EVER).alias("_since")))
+    wanted = requests.select("ord", "id", "parent_id").join(existing.select("id"), "id", "left_anti")
+    made = existing.limit(0)
+    while True:
+        parents = existing.unionByName(made).withColumnsRenamed({"id": "parent_id", "_since": "_parent_since"})
+        able = join_unique(wanted, parents, ["parent_id"]).filter("parent_id IS NULL OR _parent_since < ord")
+        fresh = cut(able.groupBy("id").agg(F.min("ord").alias("_since")))
+        moved = fresh.join(made.withColumnRenamed("_since", "_was"), "id", "left").filter("_was IS NULL OR _was <> _since")
+        settled = not moved.limit(1).count()
+        made = fresh
+        if settled:
+            break
     outcome = (
-        F.when(F.col("_exists") | (F.col("ord") != F.col("_first")), "duplicate")
-        .when(F.col("parent_id").isNotNull() & F.col("_parent_exists").isNull(), "unknown_parent")
-        .otherwise("created")
-    )
-    return (
-        requests.join(first, "id")
-        .join(existing, "id", "left")
-        .join(parents, "parent_id", "left")
-        .select(*requests.columns, outcome.alias("outcome"))
+        F.when(F.col("ord") > F.col("_since"), "duplicate").when(F.col("ord") == F.col("_since"), "created").otherwise("unknown_parent")
     )
+    return requests.join(existing.unionByName(made), "id", "left").select(*requests.columns, outcome.alias("outcome"))
 
 
 def create_feeds(feeds: DataFrame, checked: DataFrame) -> DataFrame:
@@ -108,18 +118,37 @@ def create_feeds(feeds: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def check_deletes(feeds: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests `(id)` with `outcome`: deleted, has_children or unknown."""
-    existing = feeds.select("id", F.lit(True).alias("_exists"))
-    parents = feeds.select(F.col("parent_id").alias("id"), F.lit(True).alias("_parent")).distinct()
-    outcome = (
-        F.when(F.col("_exists").isNull(), "unknown").when(F.col("_parent"), "has_children").otherwise("deleted")
-    )
+    """Requests `(ord, id)` with `outcome`: deleted, has_children or unknown.
+
+    A feed can go once all its children are gone, which one round per level finds from the
+    leaves up.  After that it is unknown.
+    """
+    requests = cut(requests.select("ord", "id"))
+    tree = cut(feeds.select("id", "parent_id"))
+    asked = requests.join(tree, "id")
+    gone = cut(tree.select("id", F.lit(EVER).alias("_gone")).limit(0))
+    children = cut(tree.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("_children")))
+    while True:
+        left = tree.join(gone, "id").groupBy(F.col("parent_id").alias("id")).agg(
+            F.count(F.lit(1)).alias("_left"), F.max("_gone").alias("_free")
+        )
+        free = (
+            asked.select("ord", "id")
+            .join(children, "id", "left")
+            .join(left, "id", "left")
+            .filter("_children IS NULL OR _children = _left")
+            .filter(F.col("ord") > F.coalesce("_free", F.lit(EVER)))
+        )
+        fresh = cut(free.groupBy("id").agg(F.min("ord").alias("_gone")))
+        settled = fresh.count() == gone.count()
+        gone = fresh
+        if settled:
+            break
+    known = tree.select("id", F.lit(True).alias("_exists"))
+    unknown = F.col("_exists").isNull() | F.coalesce(F.col("ord") > F.col("_gone"), F.lit(False))
+    outcome = F.when(unknown, "unknown").when(F.col("ord") == F.col("_gone"), "deleted").otherwise("has_children")
     return (
-        requests.select("id")
-        .distinct()
-        .join(existing, "id", "left")
-        .join(parents, "id", "left")
-        .select("id", outcome.alias("outcome"))
+        requests.join(known, "id", "left").join(gone, "id", "left").select("ord", "id", outcome.alias("outcome"))
     )
 
 
@@ -130,16 +159,42 @@ def delete_feeds(feeds: DataFrame, checked: DataFrame) -> DataFrame:
 def check_acks(registered: DataFrame, acks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Acks `(ord, id, ack, ts)` with `outcome`: accepted, beyond_parent or unknown.
 
-    `registered` has `parent_max_ack`.  One feed may get most of the acks.
+    `registered` has `parent_id` and `parent_max_ack`.  An ack may go as far as its parent has
+    acknowledged before it, earlier acks of these included; one round per level of
+    feeds that have acks here, parents first.  One feed may get most of the acks.
     """
-    bounds = registered.select("id", "parent_max_ack")
-    outcome = (
-        F.when(F.col("parent_max_ack").isNull(), "unknown")
-        .when(F.col("ack") > F.col("parent_max_ack"), "beyond_parent")
-        .otherwise("accepted")
-    )
-    bounded = join_unique(acks, bounds, ["id"], hot_rows)
-    return bounded.select(*acks.columns, "parent_max_ack", outcome.alias("outcome"))
+    bounds = registered.select("id", F.col("parent_id").alias("_parent"), "parent_max_ack")
+    waiting = cut(join_unique(acks, bounds, ["id"], hot_rows))
+    columns = [*acks.columns, "parent_max_ack", "outcome"]
+    judged = None
+    while True:
+        parents = waiting.select(F.col("id").alias("_parent")).distinct()
+        ready = waiting.join(parents, "_parent", "left_anti")
+        now = _bounded(ready, judged, hot_rows)
+        outcome = (
+            F.when(F.col("parent_max_ack").isNull(), "unknown")
+            .when(F.col("ack") > F.col("parent_max_ack"), "beyond_parent")
+            .otherwise("accepted")
+        )
+        done = cut(now.select(*columns[:-1], outcome.alias("outcome")))
+        judged = done if judged is None else judged.unionByName(done)
+        later = cut(waiting.join(parents, "_parent", "left_semi"))
+        if later.isEmpty():
+            return judged
+        if done.isEmpty():
+            raise ValueError("the feeds' parents form a cycle")
+        waiting = later
+
+
+def _bounded(ready: DataFrame, judged: DataFrame | None, hot_rows: int) -> DataFrame:
+    """`ready` with `parent_max_ack` raised by the accepted acks of each parent that come before."""
+    if judged is None:
+        return ready
+    steps = judged.filter("outcome = 'accepted'").select(F.col("id").alias("_key"), "ord", F.col("ack").alias("_step"))
+    own = ready.select("*", F.col("_parent").alias("_key"), F.lit(None).cast("bigint").alias("_step"))
+    both = own.unionByName(steps, allowMissingColumns=True)
+    raised = previous_best(both, ["_key"], "ord", F.col("_step"), "_reached", hot_rows).filter("id IS NOT NULL")
+    return raised.withColumn("parent_max_ack", F.greatest("parent_max_ack", "_reached")).select(*ready.columns)
 
 
 def apply_acks(feeds: DataFrame, checked: DataFrame) -> DataFrame:

@@ -13,8 +13,7 @@ def scan_history(
 ) -> DataFrame:
     """The oldest `size` rows in `(from_ack, to_ack]` whose type passes the filter.
 
-    Both predicates reach the file scan.  With files clustered by `seq`, as the
-    snapshot writer leaves them, all others are skipped.
+    Both predicates reach the file scan, which skips the row groups that lie outside.
     """
     wanted = between_acks(F.col("seq"), F.lit(from_ack), F.lit(to_ack)) & type_matches(F.col("type"), type_filter)
     return history.filter(wanted).orderBy("seq").limit(size)

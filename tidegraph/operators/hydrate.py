@@ -7,13 +7,12 @@ document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.lineage import cut
 from tidegraph.operators.closure import adjacency, along_edges, closure, closure_each
 from tidegraph.schema import NODE
-from tidegraph.skew import HOT_ROWS, join_unique
 
 
 def live_rows(resources: DataFrame) -> DataFrame:
@@ -59,28 +58,35 @@ def hydrate_each(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> Da
     )
 
 
-def documents(rows: DataFrame, part_rows: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Assemble hydrated rows of `hydrate_each` into JSON documents.
+def documents(rows: DataFrame) -> DataFrame:
+    """Hydrated rows of `hydrate_each` as one JSON document per root: `(root_type, root_id, document)`.
 
-    A document with more than about `part_rows` included resources comes in
-    several parts, so that no group grows with the data: `(root_type, root_id,
-    part, document)`.  Every part carries the root as `data`; together the parts
-    hold all of `included`.
+    `included` is sorted by type and id.  A document is one value, so its size is bounded
+    by what a value may hold; the rows themselves are the form for documents beyond that.
     """
     root = ["root_type", "root_id"]
-    sizes = rows.filter("role = 'included'").groupBy(*root).agg(F.count(F.lit(1)).alias("size"))
-    data = rows.filter("role = 'data'").select(*root, F.col("resource").alias("data")).join(sizes, root, "left")
-    parts = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("size"), F.lit(0)) / part_rows)).cast("int")
-    heads = data.select(*root, "data", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    data = rows.filter("role = 'data'").select(*root, F.col("resource").alias("data"))
     included = (
-        join_unique(rows.filter("role = 'included'"), sizes, root, hot_rows)
-        .withColumn("part", F.pmod(F.xxhash64(*NODE), parts).cast("int"))
-        .groupBy(*root, "part")
+        rows.filter("role = 'included'")
+        .groupBy(*root)
         .agg(F.sort_array(F.collect_list(F.struct(*NODE, "resource"))).alias("members"))
     )
     bodies = F.concat_ws(",", F.transform(F.col("members"), lambda m: m["resource"]))
-    return heads.join(included, [*root, "part"], "left").select(
+    return data.join(included, root, "left").select(
         *root,
-        "part",
         F.concat(F.lit('{"data":'), F.col("data"), F.lit(',"included":['), bodies, F.lit("]}")).alias("document"),
     )
+
+
+def list_document(rows: DataFrame) -> DataFrame:
+    """Rows of `hydrate_many` as one JSON document: `data` lists the live roots, `included` what they reach.
+
+    Both are sorted by type and id, and empty if there is nothing.
+    """
+
+    def part(role: str) -> Column:
+        held = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct(*NODE, "resource"))))
+        return F.concat_ws(",", F.transform(held, lambda m: m["resource"]))
+
+    text = F.concat(F.lit('{"data":['), part("data"), F.lit('],"included":['), part("included"), F.lit("]}"))
+    return rows.agg(text.alias("document"))

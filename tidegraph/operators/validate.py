@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions.jsontext import (
-    IDENTIFIERS,
-    RELATIONSHIPS,
     member,
     member_doc,
     parsed,
@@ -27,17 +25,30 @@ def _keys(object_text: Column) -> Column:
     return F.coalesce(F.json_object_keys(object_text), F.array().cast("array<string>"))
 
 
-def _bad_relationship(relationships: Column) -> Column:
-    """True if some `data` is neither an identifier nor a list of identifiers."""
+def _kind(value: Column, kind: str) -> Column:
+    """Whether a variant is of a kind: OBJECT, ARRAY, STRING, BIGINT (any whole number) or VOID (JSON null)."""
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
-    def bad(data: Column) -> Column:
-        ids = F.from_json(data, IDENTIFIERS)
-        broken = F.exists(ids, lambda i: i.isNull() | i["type"].isNull() | i["id"].isNull())
-        return data.isNotNull() & F.coalesce(broken, F.lit(True))
 
-    return F.coalesce(
-        F.exists(F.map_values(F.from_json(relationships, RELATIONSHIPS)), lambda r: bad(r["data"])), F.lit(False)
-    )
+def _absent(value: Column) -> Column:
+    return value.isNull() | _kind(value, "VOID")
+
+
+def _bad_relationship(doc: Column) -> Column:
+    """True unless `relationships` is an object of objects whose `data` is an identifier or a list of them."""
+
+    def good_id(value: Column) -> Column:
+        return _kind(value, "OBJECT") & _kind(member_doc(value, "type"), "STRING") & _kind(member_doc(value, "id"), "STRING")
+
+    def good(value: Column) -> Column:
+        data = member_doc(value, "data")
+        listed = F.forall(F.try_variant_get(data, "$", "array<variant>"), good_id)
+        listed = _kind(data, "ARRAY") & F.coalesce(listed, F.lit(False))
+        return _kind(value, "OBJECT") & (_absent(data) | good_id(data) | listed)
+
+    held = member_doc(doc, "relationships")
+    members = F.map_values(F.try_variant_get(held, "$", "map<string,variant>"))
+    return ~_absent(held) & ~F.coalesce(F.forall(members, good), F.lit(False))
 
 
 # In canonical text a member name follows `{` or `,` directly; inside a string a
@@ -49,18 +60,23 @@ def document_fault(doc: Column) -> Column:
     """Why a resource document (parsed) is invalid, or NULL.
 
     `malformed`: no JSON object.  `identifier`: `type` or `id` missing or no string.
-    `relationship`: `data` is neither an identifier nor a list of them.
+    `relationship`: `relationships` or one of them is no object, or a `data` is neither an identifier,
+    with a string as type and id, nor a list of them.
+    `attributes`: no object.  `sequence`: `meta.sequenceNumber` is no whole number.
     `reserved_name`: a member of attributes or relationships named `type` or `id`.
     `shared_name`: the same name in attributes and relationships.
     `nested_member`: `links` or `relationships` at any depth inside attributes.
     """
     attributes, relationships = member(doc, "attributes"), member(doc, "relationships")
     names, related = _keys(attributes), _keys(relationships)
+    given_seq = member_doc(doc, "meta.sequenceNumber")
     reserved = F.array(F.lit("type"), F.lit("id"))
     return (
         F.when(~F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False)), "malformed")
         .when(~(_is_text(member(doc, "type")) & _is_text(member(doc, "id"))), "identifier")
-        .when(_bad_relationship(relationships), "relationship")
+        .when(_bad_relationship(doc), "relationship")
+        .when(~_absent(member_doc(doc, "attributes")) & ~_kind(member_doc(doc, "attributes"), "OBJECT"), "attributes")
+        .when(~_absent(given_seq) & ~_kind(given_seq, "BIGINT"), "sequence")
         .when(F.arrays_overlap(F.concat(names, related), reserved), "reserved_name")
         .when(F.arrays_overlap(names, related), "shared_name")
         .when(F.coalesce(attributes.rlike(RESERVED_MEMBER), F.lit(False)), "nested_member")

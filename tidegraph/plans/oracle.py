@@ -194,21 +194,26 @@ requests AS (
          'region-' || s_nationkey AS parent_id FROM supplier
 ),
 checked AS (
-  SELECT *, CASE WHEN id IN (SELECT id FROM feeds) OR ord <> min(ord) OVER (PARTITION BY id) THEN 'duplicate'
-                 WHEN parent_id NOT IN (SELECT id FROM feeds) THEN 'unknown_parent' ELSE 'created' END AS outcome
-  FROM requests
+  SELECT ord, id, parent_id,
+         CASE WHEN id IN (SELECT id FROM feeds) OR ord > since THEN 'duplicate' WHEN ord = since THEN 'created'
+              ELSE 'unknown_parent' END AS outcome
+  FROM (SELECT *, min(ord) FILTER (WHERE parent_id IN (SELECT id FROM feeds)) OVER (PARTITION BY id) AS since FROM requests)
 )"""
 
 DELETES = """
 requests AS (
-  SELECT 'customer-' || c_custkey AS id FROM customer WHERE c_acctbal < 0
-  UNION SELECT 'nation-' || c_nationkey FROM customer
-  UNION SELECT 'supplier-' || s_suppkey FROM supplier
+  SELECT c_custkey AS ord, 'customer-' || c_custkey AS id FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT c_custkey + 10000000000, 'nation-' || c_nationkey FROM customer
+  UNION ALL SELECT s_suppkey + 20000000000, 'supplier-' || s_suppkey FROM supplier
+),
+-- Children come before their parents in these requests, and two levels are asked for.
+kept_parents AS (
+  SELECT DISTINCT parent_id FROM feeds WHERE parent_id IS NOT NULL AND id NOT IN (SELECT id FROM requests)
 ),
 checked AS (
-  SELECT id, CASE WHEN id NOT IN (SELECT id FROM feeds) THEN 'unknown'
-                  WHEN id IN (SELECT parent_id FROM feeds WHERE parent_id IS NOT NULL) THEN 'has_children'
-                  ELSE 'deleted' END AS outcome
+  SELECT ord, id, CASE WHEN id NOT IN (SELECT id FROM feeds) THEN 'unknown'
+                       WHEN id IN (SELECT parent_id FROM kept_parents) THEN 'has_children'
+                       WHEN ord > min(ord) OVER (PARTITION BY id) THEN 'unknown' ELSE 'deleted' END AS outcome
   FROM requests
 )"""
 
@@ -242,7 +247,7 @@ def _with(*parts: str) -> str:
 def _scan(condition: str) -> str:
     return _with(
         HISTORY,
-        f"SELECT type, id, seq, epoch_us(event_time) AS event_us FROM history WHERE seq > 1000 AND {condition} ORDER BY seq LIMIT 500",
+        f"SELECT type, id, seq, epoch_us(event_time) AS event_us FROM history WHERE seq > 1000 AND seq <= (SELECT max(seq) FROM history) AND {condition} ORDER BY seq LIMIT 500",
     )
 
 
@@ -324,11 +329,33 @@ def oracle_queries() -> dict[str, str]:
             "roots AS (SELECT type, id FROM live WHERE type = 'supplier')",
             PAIRS,
             f"bodies AS (SELECT type, id, {document} AS body FROM live)",
-            """SELECT h.root_type, h.root_id, 0 AS part,
+            """SELECT h.root_type, h.root_id,
                       '{"data":' || max(CASE WHEN role = 'data' THEN body END) || ',"included":[' ||
                       coalesce(string_agg(body, ',' ORDER BY h.type, h.id) FILTER (WHERE role = 'included'), '') || ']}' AS document
                FROM hydrated h JOIN bodies b ON b.type = h.type AND b.id = h.id GROUP BY h.root_type, h.root_id""",
         ),
+        "hydrated_list_document": _with(
+            EDGES,
+            LIVE,
+            LIVE_LINKS,
+            "roots AS (SELECT type, id FROM live WHERE type = 'nation')",
+            SHARED.replace("SELECT 'data' AS role", ", shared AS (SELECT 'data' AS role") + ")",
+            f"bodies AS (SELECT type, id, {document} AS body FROM live)",
+            """SELECT '{"data":[' || coalesce(string_agg(body, ',' ORDER BY s.type, s.id) FILTER (WHERE role = 'data'), '') ||
+                      '],"included":[' || coalesce(string_agg(body, ',' ORDER BY s.type, s.id) FILTER (WHERE role = 'included'), '') ||
+                      ']}' AS document
+               FROM shared s JOIN bodies b ON b.type = s.type AND b.id = s.id""",
+        ),
+        "incoming_documents": _with(
+            EDGES,
+            LIVE,
+            """SELECT 'customer' AS to_type, id AS to_id, 'data' AS role, 'customer' AS type, id, label FROM live WHERE type = 'customer'
+               UNION ALL
+               SELECT e.to_type, e.to_id, 'included', e.from_type, e.from_id, l.label
+               FROM edges e JOIN live l ON l.type = e.from_type AND l.id = e.from_id
+               JOIN live t ON t.type = e.to_type AND t.id = e.to_id
+               WHERE e.from_type = 'order' AND e.to_type = 'customer'""",
+        ),
         "incoming_by_type": _with(
             EDGES,
             LIVE,
@@ -455,7 +482,7 @@ def oracle_queries() -> dict[str, str]:
             """SELECT id, parent_id, max_ack, epoch_us(TIMESTAMP '2024-01-01') AS created_us FROM feeds
                UNION ALL SELECT id, parent_id, 0, epoch_us(TIMESTAMP '2024-02-01') FROM checked WHERE outcome = 'created'""",
         ),
-        "feed_delete": _with(HISTORY, FEEDS, DELETES, "SELECT id, outcome FROM checked"),
+        "feed_delete": _with(HISTORY, FEEDS, DELETES, "SELECT ord, id, outcome FROM checked"),
         "feed_deleted": _with(
             HISTORY,
             FEEDS,

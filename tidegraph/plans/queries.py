@@ -16,9 +16,9 @@ from tidegraph.operators import polling as pl
 from tidegraph.operators import validate as va
 from tidegraph.operators import writes as wr
 from tidegraph.operators.closure import adjacency, against_edges, max_relevant_seq, reverse_closure
-from tidegraph.operators.edges import edge_diff, edges_of, incoming
+from tidegraph.operators.edges import edge_diff, edges_of, incoming, incoming_documents as incoming_rows
 from tidegraph.operators.history import latest_per_key, scan_history
-from tidegraph.operators.hydrate import documents, hydrate_each, hydrate_many, lookup
+from tidegraph.operators.hydrate import documents, hydrate_each, hydrate_many, list_document, lookup
 from tidegraph.operators.ordering import with_sequence
 from tidegraph.operators.propagation import compact, expansion_counts, propagate, reached_by
 from tidegraph.operators.timing import debounce, heartbeats
@@ -178,6 +178,20 @@ def hydrated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(hydrate_each(retail.resources(spark, sf_dir), retail.edges(spark, sf_dir), roots))
 
 
+@query
+def hydrated_list_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nations and what they reach, as one document."""
+    roots = _nodes(table(spark, sf_dir, "nation"), "nation", "n_nationkey")
+    return list_document(hydrate_many(retail.resources(spark, sf_dir), retail.edges(spark, sf_dir), roots))
+
+
+@query
+def incoming_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _nodes(table(spark, sf_dir, "customer"), "customer", "c_custkey")
+    rows = incoming_rows(retail.resources(spark, sf_dir), retail.edges(spark, sf_dir), targets, "order")
+    return rows.select("to_type", "to_id", "role", "type", "id", _label())
+
+
 @query
 def incoming_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _nodes(table(spark, sf_dir, "customer"), "customer", "c_custkey")
@@ -316,7 +330,8 @@ def high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan(spark: SparkSession, sf_dir: str, type_filter: list[str] | None) -> DataFrame:
-    rows = scan_history(samples.history(spark, sf_dir), 1000, 1_000_000_000, type_filter, 500)
+    log = samples.history(spark, sf_dir)
+    rows = scan_history(log, 1000, log.agg(F.max("seq")).first()[0] or 0, type_filter, 500)
     return rows.select("type", "id", "seq", micros(F.col("event_time")).alias("event_us"))
 
 

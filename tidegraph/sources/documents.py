@@ -27,6 +27,10 @@ def _given(text: Column) -> Column:
     return F.when(text != "null", text)
 
 
+def _whole_number(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """Raw writes `{"data": {...}}` as write rows, other columns kept.
 
@@ -41,7 +45,7 @@ def normalise(raw: DataFrame) -> DataFrame:
         *[c for c in parts.columns if c != "_doc"],
         string_member(doc, "type").alias("body_type"),
         string_member(doc, "id").alias("body_id"),
-        F.coalesce("header_seq", F.try_variant_get(doc, "$.meta.sequenceNumber", "bigint")).alias("seq"),
+        F.coalesce("header_seq", _whole_number(member_doc(doc, "meta.sequenceNumber"))).alias("seq"),
         F.when(put, _given(member(doc, "attributes"))).alias("attributes"),
         F.when(put, _given(member(doc, "relationships"))).alias("relationships"),
         F.when(put, _given(member(doc, "links"))).alias("links"),
@@ -66,7 +70,8 @@ def _body(type_: Column, id_: Column) -> Column:
         return F.when(text.isNotNull(), F.concat(F.lit(f'"{name}":'), text))
 
     def quoted(value: Column) -> Column:
-        return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"^\{\"v\":(.*)\}$", 1)
+        text = F.to_json(F.struct(value.alias("v")))  # cut by place, as an id may hold any character
+        return F.substring(text, F.lit(6), F.length(text) - 6)
 
     meta = F.when(
         F.col("seq").isNotNull(), F.concat(F.lit('{"sequenceNumber":'), F.col("seq").cast("string"), F.lit("}"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.jsontext import identifier
 from tidegraph.operators.ordering import with_sequence
-from tidegraph.sources.retail import log_updates, spread_table, table, text
+from tidegraph.sources.retail import log_updates, table, text
 
 
 def event_k() -> Column:
@@ -56,9 +56,13 @@ def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     return (
         customer.filter("c_acctbal < 0")
-        .select(F.concat(F.lit("customer-"), text("c_custkey")).alias("id"))
-        .unionByName(customer.select(F.concat(F.lit("nation-"), text("c_nationkey")).alias("id")))
-        .unionByName(supplier.select(F.concat(F.lit("supplier-"), text("s_suppkey")).alias("id")))
+        .select(F.col("c_custkey").alias("ord"), F.concat(F.lit("customer-"), text("c_custkey")).alias("id"))
+        .unionByName(
+            customer.select((F.col("c_custkey") + 10**10).alias("ord"), F.concat(F.lit("nation-"), text("c_nationkey")).alias("id"))
+        )
+        .unionByName(
+            supplier.select((F.col("s_suppkey") + 2 * 10**10).alias("ord"), F.concat(F.lit("supplier-"), text("s_suppkey")).alias("id"))
+        )
     )
 
 
@@ -87,7 +91,7 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", doc(F.when(F.col("value") < 20, user).otherwise(event_k()), plain, F.struct(F.struct(F.array(item["data"], item["data"]).alias("data")).alias("items"))))
         .otherwise(doc(user, plain, F.struct(F.struct(F.struct(F.lit("part").alias("type")).alias("data")).alias("item"))))
     )
-    return spread_table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.lit("put").alias("op"),
@@ -107,7 +111,7 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("doc_id").alias("id"),
         F.struct(passages.alias("passages"), F.col("lang").alias("title")).alias("attributes"),
     )
-    return spread_table(spark, sf_dir, "documents").select("doc_id", F.to_json(body).alias("body"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(body).alias("body"))
 
 
 def changefeed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +144,7 @@ def lineitem_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         return identifier(F.lit(type_), text(key))
 
     data = F.array(bare("supplier", "l_suppkey"), bare("part", "l_partkey"), bare("order", "l_orderkey"))
-    return spread_table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("batch_id"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.to_json(F.struct(data.alias("data"))).alias("body"),

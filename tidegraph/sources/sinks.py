@@ -28,7 +28,7 @@ def stream_events(events: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
 
 def write_documents(hydrated: DataFrame, path: str) -> None:
-    """Hydrated rows as one JSON document (or several parts) per root."""
+    """Hydrated rows as one JSON document per root."""
     documents(hydrated).select("document").write.mode("overwrite").text(path)
 
 

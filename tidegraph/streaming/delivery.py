@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from tidegraph.functions.events import deleted_feed_errors, event_line, row_events
+from tidegraph.functions.events import deleted_feed_errors, row_events
 from tidegraph.lineage import cut
 from tidegraph.operators.closure import closure
 from tidegraph.operators.edges import edges_of
@@ -46,21 +44,27 @@ REQUESTS = T.StructType(
 def found_feeds(spark: SparkSession, root: str, feeds: DataFrame, buckets: int = 64) -> None:
     """Publish a registry to start from, ahead of all request batches."""
     store = SnapshotStore(spark, root, buckets)
-    every = list(range(buckets))
-    store.publish(-1, {"changefeeds": store.stage("changefeeds", feeds, every, -1, ["id"])}, 0)
+    every = list(range(store.width))
+    version = store.next_version()
+    store.publish(version, {"changefeeds": store.stage("changefeeds", feeds, every, version, ["id"])}, 0)
 
 
-def process_requests(requests: DataFrame, batch_id: int, feeds_root: str, log_root: str, buckets: int = 64) -> None:
+def process_requests(
+    requests: DataFrame, batch_id: int, feeds_root: str, log_root: str, buckets: int = 64, writer: str = ""
+) -> None:
     """One micro-batch of feed requests: creates, then acks, then deletes.
 
+    A batch is known by its `writer`, such as the checkpoint folder of a query, and its
+    number, so that another query's batches of the same numbers are not taken for replays.
     Appends the outcome of every request, and to `ack_progress` the feeds whose
     position really moved, which is what their children read by.  The outputs
     are written before the registry is published and a replay replaces them.
     """
     spark = requests.sparkSession
     store, log = SnapshotStore(spark, feeds_root, buckets), SnapshotStore(spark, log_root, buckets)
-    if store.done(batch_id):
+    if store.done(writer, batch_id):
         return
+    version = store.next_version()
     requests = cut(requests)
     before = cut(store.read("changefeeds").drop("bucket"))
 
@@ -71,14 +75,15 @@ def process_requests(requests: DataFrame, batch_id: int, feeds_root: str, log_ro
     deleted = cut(check_deletes(moved, requests.filter("kind = 'delete'")))
     after = delete_feeds(moved, deleted)
 
-    outcomes = created.select("id", F.lit("create").alias("kind"), "outcome")
-    outcomes = outcomes.unionByName(acked.select("id", F.lit("ack").alias("kind"), "outcome"))
-    outcomes = outcomes.unionByName(deleted.select("id", F.lit("delete").alias("kind"), "outcome"))
-    store.append("outcomes", outcomes, batch_id)
-    store.append("ack_progress", ack_progress(feeds, moved), batch_id)
+    outcomes = created.select("ord", "id", F.lit("create").alias("kind"), "outcome")
+    outcomes = outcomes.unionByName(acked.select("ord", "id", F.lit("ack").alias("kind"), "outcome"))
+    outcomes = outcomes.unionByName(deleted.select("ord", "id", F.lit("delete").alias("kind"), "outcome"))
+    store.append("outcomes", outcomes, version)
+    store.append("ack_progress", ack_progress(feeds, moved), version)
     touched = store.touched("changefeeds", requests)
     rows = after.filter(store.bucket_of("changefeeds").isin(touched))
-    store.publish(batch_id, {"changefeeds": store.stage("changefeeds", rows, touched, batch_id, ["id"])}, 0)
+    staged = {"changefeeds": store.stage("changefeeds", rows, touched, version, ["id"])}
+    store.publish(version, staged, 0, {writer: batch_id})
 
 
 def start_requests(
@@ -86,7 +91,7 @@ def start_requests(
 ) -> StreamingQuery:
     return (
         requests.writeStream.foreachBatch(
-            lambda batch, batch_id: process_requests(batch, batch_id, feeds_root, log_root, buckets)
+            lambda batch, batch_id: process_requests(batch, batch_id, feeds_root, log_root, buckets, checkpoint)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -151,41 +156,3 @@ def debounce_stream(
         .select("row.*")
     )
     return last if eager is None else last.unionByName(timely.filter(F.coalesce(eager, F.lit(False))))
-
-
-class KeepaliveProcessor(StatefulProcessor):
-    """Passes lines on and emits `keepalive` for a feed after each `timeout_ms` of silence."""
-
-    def __init__(self, timeout_ms: int) -> None:
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        for row in rows:
-            yield Row(feed=key[0], value=row["value"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        yield Row(feed=key[0], value='{"eventType":"keepalive"}')
-
-    def close(self) -> None:
-        pass
-
-
-LINES = T.StructType([T.StructField("feed", T.StringType()), T.StructField("value", T.StringType())])
-
-
-def with_keepalives(events: DataFrame, timeout_ms: int = 10_000) -> DataFrame:
-    """Live event lines `(feed, value)` with keepalives.  Needs the RocksDB state store."""
-    lines = events.select("feed", event_line(F.col("eventType"), F.col("data"), F.col("message")).alias("value"))
-    return lines.groupBy("feed").transformWithState(
-        statefulProcessor=KeepaliveProcessor(timeout_ms),
-        outputStructType=LINES,
-        outputMode="append",
-        timeMode="ProcessingTime",
-    )

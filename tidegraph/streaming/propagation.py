@@ -18,8 +18,8 @@ from tidegraph.sources.documents import normalise
 from tidegraph.streaming.snapshots import SnapshotStore
 
 
-def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64) -> None:
-    """One micro-batch.
+def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64, writer: str = "") -> None:
+    """One micro-batch, known by its `writer` (the checkpoint folder of a query) and its number.
 
     Only the buckets that hold written, referenced or reached keys are read and
     rewritten, so the cost follows the batch and what it affects, not the store.
@@ -27,8 +27,9 @@ def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64)
     decide what reaches it.
     """
     store = SnapshotStore(raw.sparkSession, root, buckets)
-    if store.done(batch_id):
+    if store.done(writer, batch_id):
         return
+    version = store.next_version()
     raw = cut(raw)
     versions = store.versions()
 
@@ -37,16 +38,16 @@ def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64)
     stored = store.read("resources", written, versions)
     classified = cut(classify_writes(stored.drop("bucket"), accepted))
     after = cut(state_after(classified))
-    store.append("results", write_results(classified), batch_id)
-    store.append("rejected", rejected, batch_id)
+    store.append("results", write_results(classified), version)
+    store.append("rejected", rejected, version)
     staged = {
-        "resources": store.stage("resources", merge_state(stored.drop("bucket"), after), written, batch_id, NODE)
+        "resources": store.stage("resources", merge_state(stored.drop("bucket"), after), written, version, NODE)
     }
 
     diff = cut(edge_diff(stored, after))
     rewired = store.touched("edges", diff)
     new_edges = apply_edge_diff(store.read("edges", rewired, versions).drop("bucket"), diff)
-    staged["edges"] = store.stage("edges", new_edges, rewired, batch_id, ["to_type", "to_id"])
+    staged["edges"] = store.stage("edges", new_edges, rewired, version, ["to_type", "to_id"])
     versions["edges"] = {b: v for b, v in {**versions["edges"], **staged["edges"]}.items() if v is not None}
 
     changes = captured_changes(classified)
@@ -55,10 +56,10 @@ def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64)
     fresh = cut(propagate(changes, links, store.max_seq(), datetime.fromtimestamp(when / 1e6, timezone.utc)))
     reached = store.touched("history", fresh)
     log = compact(store.read("history", reached, versions), fresh)
-    staged["history"] = store.stage("history", log, reached, batch_id, ["seq"])
+    staged["history"] = store.stage("history", log, reached, version, ["seq"])
 
     top = fresh.agg(F.max("seq")).first()[0] or store.max_seq()
-    store.publish(batch_id, staged, top)
+    store.publish(version, staged, top, {writer: batch_id})
 
 
 def start_propagation(
@@ -69,7 +70,7 @@ def start_propagation(
     A failed batch is tried again from the checkpoint when the query restarts.
     """
     writer = writes.writeStream.foreachBatch(
-        lambda batch, batch_id: process_writes(batch, batch_id, root, buckets)
+        lambda batch, batch_id: process_writes(batch, batch_id, root, buckets, checkpoint)
     ).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return writer.trigger(**trigger).start()

@@ -3,15 +3,16 @@
 A store has one writer; the log (resources, edges, history) and the feed
 registry are separate stores.  Each table is split into hash buckets.  A batch writes new versions of the
 buckets it touches and leaves all others; one manifest file, written last, names
-the version of every bucket.  Readers see the state of the newest manifest, and
-running a batch again rewrites the same version, so replays are harmless.
+the version of every bucket, the number of buckets and the last batch of every writer.  Readers see the
+state of the newest manifest, found by its folder's name.  A batch that failed halfway left no manifest and is
+written again under the same version; one that is published is known by its writer and number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,18 +29,27 @@ TABLES = {
     "changefeeds": (CHANGEFEEDS, ["id"]),
 }
 
-MANIFEST = "table string, bucket int, version bigint, max_seq bigint, batch_id bigint"
+MANIFEST = (
+    "table string, bucket int, version bigint, max_seq bigint, buckets int, writer string, batch_id bigint"
+)
 
 
 @dataclass(frozen=True)
 class SnapshotStore:
+    """`buckets` counts when the store is founded; afterwards the store knows its own number."""
+
     spark: SparkSession
     root: str
     buckets: int = 64
 
+    @cached_property
+    def width(self) -> int:
+        newest = self._newest()
+        return self.buckets if newest is None else newest.first()["buckets"]
+
     def bucket_of(self, table: str, columns: list[str] | None = None) -> Column:
         """The bucket of a key, held in the columns of that table or in those given."""
-        return F.pmod(F.xxhash64(*(columns or TABLES[table][1])), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*(columns or TABLES[table][1])), F.lit(self.width)).cast("int")
 
     def touched(self, table: str, keys: DataFrame) -> list[int]:
         """The buckets that hold the given keys: at most `buckets` numbers."""
@@ -47,23 +57,29 @@ class SnapshotStore:
 
     # Manifests ---------------------------------------------------------------
 
-    def _manifests(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
+    def last_version(self) -> int | None:
+        """The newest published version, from the names of the manifests alone."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return None
+        found = []
+        for status in files.listStatus(folder):
+            path = status.getPath()
+            if files.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                found.append(int(path.getName().partition("=")[2]))
+        return max(found, default=None)
 
-    def last_batch(self) -> int | None:
-        manifests = self._manifests()
-        return None if manifests is None else manifests.agg(F.max("batch_id")).first()[0]
+    def next_version(self) -> int:
+        last = self.last_version()
+        return 0 if last is None else last + 1
 
     def _newest(self) -> DataFrame | None:
-        last = self.last_batch()
+        last = self.last_version()
         if last is None:
             return None
-        return self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest/batch_id={last}")
+        return self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest/version={last}")
 
     def max_seq(self) -> int:
         """The high-water mark of the log, from the newest manifest."""
@@ -71,18 +87,18 @@ class SnapshotStore:
         return 0 if newest is None else (newest.agg(F.max("max_seq")).first()[0] or 0)
 
     def high_water_marks(self) -> DataFrame:
-        """Batches that moved the high-water mark: `(batch_id, max_seq)`."""
-        manifests = self._manifests()
-        if manifests is None:
-            return self.spark.createDataFrame([], "batch_id bigint, max_seq bigint")
-        return manifests.groupBy("max_seq").agg(F.min("batch_id").alias("batch_id")).select("batch_id", "max_seq")
+        """Versions that moved the high-water mark: `(version, max_seq)`."""
+        if self.last_version() is None:
+            return self.spark.createDataFrame([], "version bigint, max_seq bigint")
+        heads = self.spark.read.schema("max_seq bigint, version int").json(f"{self.root}/manifest")
+        return heads.groupBy("max_seq").agg(F.min("version").cast("bigint").alias("version")).select("version", "max_seq")
 
     def versions(self) -> dict[str, dict[int, int]]:
         """Table to bucket to version; a few thousand entries at most."""
         found: dict[str, dict[int, int]] = {name: {} for name in TABLES}
         newest = self._newest()
         for row in newest.collect() if newest is not None else []:
-            if row["bucket"] is not None:
+            if row["table"] is not None:
                 found[row["table"]][row["bucket"]] = row["version"]
         return found
 
@@ -119,20 +135,30 @@ class SnapshotStore:
         filled = {r[0] for r in self.spark.read.schema(schema).parquet(path).select("bucket").distinct().collect()}
         return {bucket: version if bucket in filled else None for bucket in touched}
 
-    def done(self, batch_id: int) -> bool:
-        """Whether a batch is published already, as after a restart."""
-        last = self.last_batch()
+    def done(self, writer: str, batch_id: int) -> bool:
+        """Whether this writer's batch is published already, as after a restart."""
+        newest = self._newest()
+        last = None if newest is None else newest.filter(F.col("writer") == writer).agg(F.max("batch_id")).first()[0]
         return last is not None and batch_id <= last
 
-    def publish(self, batch_id: int, staged: dict[str, dict[int, int | None]], max_seq: int) -> None:
+    def publish(
+        self,
+        version: int,
+        staged: dict[str, dict[int, int | None]],
+        max_seq: int,
+        done: dict[str, int] | None = None,
+    ) -> None:
         """Make the staged buckets current.  One file, moved into place in one step."""
-        current = self.versions()
-        rows: list[tuple] = [(None, None, None, max_seq, batch_id)]
-        for table, known in current.items():
-            merged = {**known, **staged.get(table, {})}
-            rows += [(table, b, v, max_seq, batch_id) for b, v in merged.items() if v is not None]
+        newest, current = self._newest(), self.versions()
+        known = [] if newest is None else newest.filter("writer IS NOT NULL").select("writer", "batch_id").collect()
+        last = {r.writer: r.batch_id for r in known} | (done or {})
+        rows: list[tuple] = [(None, None, None, max_seq, self.width, None, None)]
+        rows += [(None, None, None, max_seq, self.width, writer, batch) for writer, batch in last.items()]
+        for table, known_versions in current.items():
+            merged = {**known_versions, **staged.get(table, {})}
+            rows += [(table, b, v, max_seq, self.width, None, None) for b, v in merged.items() if v is not None]
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
-        manifest.write.mode("overwrite").json(f"{self.root}/manifest/batch_id={batch_id}")
+        manifest.write.mode("overwrite").json(f"{self.root}/manifest/version={version}")
 
     def links_against_edges(self, versions: dict | None = None) -> TableLinks:
         """From a resource to its referrers, read from the stored edges."""
@@ -155,9 +181,9 @@ class SnapshotStore:
 
     # Append-only outputs -------------------------------------------------------
 
-    def append(self, output: str, rows: DataFrame, batch_id: int) -> None:
+    def append(self, output: str, rows: DataFrame, version: int) -> None:
         """Rows of one batch of an append-only output; a replay replaces them."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/{output}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{self.root}/{output}/batch={version}")
 
     def output(self, output: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{output}")
