@@ -1,7 +1,8 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words are read as symbols - insult, threat, target, negation, report, other -
-by a lexicon whose insults and their weights are learned from labelled rows.
+by a lexicon whose insults and their weights are learned from labelled rows: whole words, and
+stems of 4 to 6 letters (`abcd*`) for words that were seen seldom or never.
 Small weighted transducers rewrite the symbols of a clause:
 
 * insult and threat copy their symbol with its weight;
@@ -37,8 +38,11 @@ from tidegraph.llm.base import map_rows, remainder, texts_of
 MAX_LABELLED = 20_000
 MAX_LEXICON = 20_000
 MIN_SUPPORT = 3
-MIN_PRECISION = 0.5
+INSULT_SHARE = 0.95  # how often a text with an insult is toxic
+INSULT_PRIOR = 1e-3  # how many words are insults
+MAX_WEIGHT = 4.0
 REACH = 3
+STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 
 # Small seed lists of the closed classes.
@@ -120,17 +124,29 @@ def _mark(out: str) -> int:
 _MARK_OF = {out: _mark(out) for _, out in GRAMMAR.table.values() if out[0] in (INSULT, THREAT)}
 
 
+def forms(words: set[str]) -> set[str]:
+    """The words and their stems."""
+    return words | {f"{w[:k]}*" for k in STEMS for w in words if len(w) > k}
+
+
+def insult_weight(word: str, insults: dict[str, float]) -> float | None:
+    """The most that the lexicon has for a word or one of its stems."""
+    weights = [insults.get(word), *(insults.get(f"{word[:k]}*") for k in STEMS if len(word) > k)]
+    return max((w for w in weights if w is not None), default=None)
+
+
 def evidence(text: str, insults: dict[str, float]) -> np.ndarray | None:
     """Log of 1 + the summed weight of matches, per mark; None without a match."""
     text = text.lower()
-    known = set(_WORD.findall(text))
-    if known.isdisjoint(insults) and known.isdisjoint(THREATS):
+    words = set(_WORD.findall(text))
+    weights = {w: x for w in words if (x := insult_weight(w, insults)) is not None}
+    if not weights and words.isdisjoint(THREATS):
         return None
     sums = np.zeros(len(MARKS) + 1)
     for clause in _CLAUSE_END.split(text):
         state, found = 0, False
         for word in _WORD.findall(clause):
-            weight = insults.get(word)
+            weight = weights.get(word)
             if weight is not None:
                 symbol = INSULT
             elif word in THREATS:
@@ -160,12 +176,16 @@ def _labelled(documents: DataFrame, labels: DataFrame, max_rows: int) -> DataFra
 
 
 def learn_insults(labelled: DataFrame) -> dict[str, float]:
-    """Words that mark toxic texts: log-odds of the lower Wilson bound of how often a text with the word is toxic."""
+    """Words and stems that mark toxic texts, weighted by the log-odds that they are insults.
+
+    The odds compare how well the texts that hold the word fit an insult, toxic at the rate
+    `INSULT_SHARE`, and any other word, toxic at the rate of all texts.
+    """
 
     def step(rows: pa.Table) -> pa.Table:
         seen: dict[str, Counter] = {"0": Counter(), "1": Counter()}
         for text, toxic in zip(texts_of(rows), rows["toxic"].to_pylist(), strict=True):
-            seen[str(int(toxic > 0))].update(set(_WORD.findall(text.lower())))
+            seen[str(int(toxic > 0))].update(forms(set(_WORD.findall(text.lower()))))
         words = list(seen["0"].keys() | seen["1"].keys())
         return pa.table(
             {
@@ -175,20 +195,20 @@ def learn_insults(labelled: DataFrame) -> dict[str, float]:
             }
         )
 
-    n, z2 = F.col("bad") + F.col("good"), 1.96**2
-    p = F.col("bad") / n
-    low = (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
+    share = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    share = min(0.5, max(0.01, share or 0.0))
+    fit = F.col("bad") * float(np.log(INSULT_SHARE / share)) + F.col("good") * float(np.log((1 - INSULT_SHARE) / (1 - share)))
     best = (
         map_rows(labelled, step, "word string, bad long, good long")
         .groupBy("word")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .filter(F.col("bad") >= MIN_SUPPORT)
-        .select("word", low.alias("low"))
-        .filter(F.col("low") > MIN_PRECISION)
-        .orderBy(F.desc("low"), "word")
+        .select("word", (fit + float(np.log(INSULT_PRIOR))).alias("odds"))
+        .filter("odds > 0")
+        .orderBy(F.desc("odds"), "word")
         .limit(MAX_LEXICON)  # the documented size of the model
     )
-    return {r.word: float(np.log(r.low / (1 - r.low))) for r in best.collect()}
+    return {r.word: min(r.odds, MAX_WEIGHT) for r in best.collect()}
 
 
 def fit_curve(features: np.ndarray, toxic: np.ndarray, rounds: int = 30, strength: float = 1.0) -> np.ndarray:
