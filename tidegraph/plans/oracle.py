@@ -497,6 +497,15 @@ def oracle_queries() -> dict[str, str]:
             HISTORY, FEEDS, ACKS, "SELECT id, max_ack FROM after_acks WHERE max_ack > old_ack"
         ),
         "feed_poll": _with(HISTORY, FEEDS, POLL, "SELECT feed, type, id, seq FROM delivered"),
+        "feed_second_poll": _with(
+            HISTORY,
+            FEEDS,
+            POLL,
+            """SELECT c.id AS feed, h.type, h.id, h.seq
+               FROM cursors c JOIN history h ON h.seq > c.from_ack AND h.seq <= c.parent_max_ack
+               WHERE c.type_filter IS NULL OR list_contains(c.type_filter, h.type)
+               QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY h.seq) BETWEEN 11 AND 14""",
+        ),
         "feed_next_cursor": _with(
             HISTORY,
             FEEDS,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.columns import micros
@@ -448,6 +448,17 @@ def feed_next_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def feed_second_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a poll every feed acknowledges the fourth row it got, and polls again with the rest in flight."""
+    rows, log = _cursors(spark, sf_dir)
+    first = cut(pl.poll(rows, log))
+    place = F.row_number().over(Window.partitionBy("feed").orderBy("seq"))  # at most ten rows a feed
+    fourth = first.withColumn("_n", place).filter("_n = 4").select(F.col("feed").alias("id"), F.col("seq").alias("ack"))
+    after = cut(pl.acknowledge(pl.advance(rows, first), fourth).drop("fault"))
+    return pl.poll(after, log).select("feed", "type", "id", "seq")
+
+
 @query
 def feed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _cursors(spark, sf_dir)

@@ -106,7 +106,8 @@ def deliver(
 
     Without `open_cursors` all feeds start at their acknowledged position, so
     rows delivered but never acknowledged come again.  Children read up to what
-    their parent has acknowledged.  Events are `(feed, eventType, data,
+    their parent has acknowledged; what a feed has acknowledged since leaves its cursor's
+    window.  Events are `(feed, eventType, data,
     message)`; a cursor whose feed was deleted gets one last error.
     """
     feeds = registered.read("changefeeds").drop("bucket")
@@ -115,10 +116,12 @@ def deliver(
     gone = None
     if open_cursors is not None:
         gone = deleted_feed_errors(open_cursors, feeds).withColumnRenamed("id", "feed")
-        bounds = rows.select("id", F.col("parent_max_ack").alias("_bound"))
+        bounds = rows.select("id", F.col("parent_max_ack").alias("_bound"), F.col("max_ack").alias("_acked"))
         rows = cut(
             open_cursors.join(bounds, "id")
             .withColumn("parent_max_ack", F.greatest("parent_max_ack", "_bound"))
+            .withColumn("max_ack", F.greatest("max_ack", "_acked"))
+            .withColumn("inflight", F.filter("inflight", lambda s: s > F.col("max_ack")))
             .select(*open_cursors.columns)
         )
     delivered = cut(poll(rows, history))
