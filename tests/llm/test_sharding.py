@@ -33,8 +33,8 @@ def test_cuts_are_exact_with_few_knots(spark):
         if case == 2:
             sizes[300] = 9000
         ends = np.cumsum(sizes).tolist()
-        groups = spark.createDataFrame(list(zip(sizes, ends, strict=True)), "size long, end long").cache()
-        capacity, found = cuts(groups, 8, knots=32)
+        groups = spark.createDataFrame(list(zip(sizes, ends, strict=True)), "size long, end long").coalesce(1).cache()
+        capacity, found = cuts(groups, 8, knots=64)
         assert capacity == smallest_capacity(sizes, 8)
         assert found == greedy(sizes, capacity, 8)
 

@@ -93,11 +93,11 @@ def cuts(groups: DataFrame, shards: int, knots: int = KNOTS) -> tuple[int, list[
             doubtful |= {g for g in range(int(first), min(int(last) + 2, len(known.ends))) if known.hidden[g]}
         if floor == ceiling and not (known.fill(floor, shards, True)[1] | known.fill(floor, shards, False)[1]):
             return floor, known.fill(floor, shards, False)[0]
-        known = _refined(groups, known, sorted(doubtful), knots)
+        known, width = _refined(groups, known, sorted(doubtful), knots, width)
 
 
-def _refined(groups: DataFrame, known: Totals, gaps: list[int], knots: int) -> Totals:
-    """`known` with finer totals inside `gaps`; neighbouring gaps make one span, and all spans share the knots."""
+def _refined(groups: DataFrame, known: Totals, gaps: list[int], knots: int, width: int) -> tuple[Totals, int]:
+    """`known` with finer totals inside `gaps`, and their width; neighbouring gaps make one span, and all spans share the knots."""
     spans: list[list[int]] = []
     for gap in gaps:
         left, right = int(known.ends[gap - 1]), int(known.ends[gap])
@@ -105,7 +105,7 @@ def _refined(groups: DataFrame, known: Totals, gaps: list[int], knots: int) -> T
             spans[-1][1] = right
         else:
             spans.append([left, right])
-    width = max(1, -(-sum(b - a for a, b in spans) // knots))
+    width = max(1, min(-(-sum(b - a for a, b in spans) // knots), width // 2))  # halved at least, so this comes to an end
     inside = F.lit(False)
     for a, b in spans:
         inside = inside | ((F.col("end") > a) & (F.col("end") <= b))
@@ -115,7 +115,7 @@ def _refined(groups: DataFrame, known: Totals, gaps: list[int], knots: int) -> T
     keep[gaps], keep[0] = False, False
     ends, flags = np.append(known.ends[keep], fresh), np.append(known.hidden[keep], hidden)
     order = np.argsort(ends, kind="stable")
-    return Totals(ends[order], flags[order])
+    return Totals(ends[order], flags[order]), width
 
 
 def grouped(documents: DataFrame) -> DataFrame:
