@@ -33,7 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.lineage import cut
 from tidegraph.llm.base import map_rows, remainder, texts_of
+from tidegraph.llm.minhash import signature
+from tidegraph.llm.shingles import shingle_sets
 
 MAX_LABELLED = 20_000
 MAX_LEXICON = 20_000
@@ -57,8 +60,8 @@ THREATS = frozenset("kill hurt beat burn die destroy stab shoot töten schlagen
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oitynr"
 MARKS = ["i", "it", "in", "ir", "inr", "t", "tt", "tn", "tr", "tnr"]
-# Log-odds that a match of each mark adds per unit of evidence, before any label is seen.
-PRIOR = np.array([1.0, 1.3, 0.3, 0.5, 0.2, 0.7, 1.2, 0.2, 0.3, 0.1])
+# Log-odds that a match of each mark adds per unit of evidence, before any label is seen; last, what repetition adds.
+PRIOR = np.array([1.0, 1.3, 0.3, 0.5, 0.2, 0.7, 1.2, 0.2, 0.3, 0.1, 1.0])
 
 _CLAUSE_END = re.compile(r"[.!?;:\n\r\"“”«»]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -136,13 +139,13 @@ def insult_weight(word: str, insults: dict[str, float]) -> float | None:
 
 
 def evidence(text: str, insults: dict[str, float]) -> np.ndarray | None:
-    """Log of 1 + the summed weight of matches, per mark; None without a match."""
+    """Log of 1 + the summed weight of matches per mark, log of the number of matches, number of clauses; None without a match."""
     text = text.lower()
     words = set(_WORD.findall(text))
     weights = {w: x for w in words if (x := insult_weight(w, insults)) is not None}
     if not weights and words.isdisjoint(THREATS):
         return None
-    sums = np.zeros(len(MARKS) + 1)
+    sums, matches, clauses = np.zeros(len(MARKS)), 0, 0
     for clause in _CLAUSE_END.split(text):
         state, found = 0, False
         for word in _WORD.findall(clause):
@@ -156,13 +159,17 @@ def evidence(text: str, insults: dict[str, float]) -> np.ndarray | None:
             state, out = GRAMMAR.step(state, symbol)
             if weight is not None:
                 sums[_MARK_OF[out]] += weight
-                found = True
-        sums[-1] += found
-    return np.append(np.log1p(sums[:-1]), sums[-1])
+                matches, found = matches + 1, True
+        clauses += found
+    return np.concatenate([np.log1p(sums), [np.log(matches), clauses]])
 
 
 def _labelled(documents: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(text, toxic) of at most about `max_rows` labelled rows that may teach, chosen by a hash of the id."""
+    """(text, toxic) of at most about `max_rows` labelled rows that may teach, chosen by a hash of the id.
+
+    Copies and near copies would make their chance words look like insults, so of texts with
+    the same least shingle only the one with the least id teaches.
+    """
     toxic = (
         labels.select(F.col("doc_id").alias("_labelled"), F.col("toxic").cast("int").alias("toxic"))
         .filter("toxic IS NOT NULL AND _labelled IS NOT NULL")
@@ -172,7 +179,19 @@ def _labelled(documents: DataFrame, labels: DataFrame, max_rows: int) -> DataFra
     )
     share = min(1.0, max_rows / max(1, toxic.count()))
     chosen = toxic.filter(F.pmod(F.xxhash64("_labelled"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled")).select("text", "toxic")
+    labelled = cut(
+        documents.select("doc_id", "text")
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
+    )
+
+    def step(rows: pa.Table) -> pa.Table:
+        least = [int(signature(s, 1)[0]) if len(s) else -1 for s in shingle_sets(rows["text"])]
+        return pa.table({"doc_id": rows["doc_id"], "toxic": rows["toxic"], "key": pa.array(least, pa.int64())})
+
+    keyed = map_rows(labelled, step, "doc_id long, toxic int, key long")
+    once = keyed.groupBy("key", "toxic").agg(F.min("doc_id").alias("_once")).select("_once").distinct()
+    return labelled.join(F.broadcast(once), F.col("doc_id") == F.col("_once")).select("text", "toxic")
 
 
 def learn_insults(labelled: DataFrame) -> dict[str, float]:
@@ -242,7 +261,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED)
         kept = Counter()
         for text, toxic in zip(texts_of(rows), rows["toxic"].to_pylist(), strict=True):
             found = evidence(text, insults)
-            kept[(tuple(np.zeros(len(MARKS))) if found is None else tuple(found[:-1].round(2)), int(toxic > 0))] += 1
+            kept[(tuple(np.zeros(len(PRIOR))) if found is None else tuple(found[:-1].round(2)), int(toxic > 0))] += 1
         return pa.table(
             {
                 "features": pa.array([list(f) for f, _ in kept], pa.list_(pa.float64())),
