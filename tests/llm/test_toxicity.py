@@ -40,7 +40,7 @@ def test_clauses_are_read_by_the_grammar():
 
 
 def test_edge_cases(spark):
-    rows = [(k, "you rotten thing" if k % 3 == 0 else "a fine thing", "c") for k in range(1, 400)]
+    rows = [(k, f"you rotten thing {k}" if k % 3 == 0 else f"a fine thing {k}", "c") for k in range(1, 400)]
     rows += [(500, None, "c"), (501, "", "c"), (502, "rotten " * 50_000, "c"), (503, "rotten", "c"), (503, "rotten", "c"), (None, "rotten", "c")]
     documents = spark.createDataFrame(rows, "doc_id long, text string, score string")
     given = [(k, int(k % 3 == 0)) for k in range(1, 400)] + [(None, 1), (500, None), (3, 0), (9999, 1)]
