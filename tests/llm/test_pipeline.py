@@ -1,6 +1,7 @@
 """The pipeline on a small table, each stage against what it must do to its own input."""
 
 import corpus_pipeline
+from tidegraph.llm.minhash import near_duplicates
 from tidegraph.llm.sentencepieces import Vocabulary, decode, default_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,3 +42,17 @@ def test_each_stage_acts_on_its_input(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in back.collect()) == texts
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, ran.select("doc_id", "ids").collect())) == sorted(map(str, seen["sentencepieces"].select("doc_id", "ids").collect()))
+
+
+def test_the_stage_takes_out_copies_between_80_and_85_percent(spark):
+    docs = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(104)]  # 100 shingles
+        edited = [*words[:50], "edit", *words[51:]] if k % 2 else [*words[:-10], *(f"tail{i}" for i in range(10))]
+        docs += [(2 * k, " ".join(words), 0), (2 * k + 1, " ".join(edited), 0)]
+    # 5 of 100 changed: 95/105; 10 of 100 changed: 90/110 = 0.82
+    table = spark.createDataFrame(docs, "doc_id long, text string, n_chars int")
+    kept = sorted(r.doc_id for r in corpus_pipeline.minhash_stage(spark, table, "").collect())
+    assert kept == list(range(0, 24, 2))
+    low = near_duplicates(table).filter("kept").count()
+    assert low == 18  # the query of its own links from 85 percent

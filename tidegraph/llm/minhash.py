@@ -5,7 +5,8 @@ whole sequence; none: empty).  Two permutations of the numbers below 2**32 make
 every signature coordinate: the first shuffles the shingles once, the second is
 applied after a circular shift by k for coordinate k, and the least value counts.
 Bands of the signature are buckets; documents of a bucket are candidates, and a
-link needs 100 * |A n B| >= 85 * |A u B| on the full sets.
+link needs 100 * |A n B| >= percent * |A u B| on the full sets: 85 in `op8_minhash`, `LOOSE` = 80 where copies are
+taken out of a corpus.
 
 Equal sets collapse into one class first.  A bucket is never expanded into
 all its pairs.  Three exact bounds hold the work down however large a bucket is: sizes,
@@ -18,7 +19,7 @@ No bucket is capped and no pair is sampled.
 A null or empty text has the empty set and links with nothing.  Rows without an id
 link with nothing and have no component.  Rows that share an id are one document for linking.
 
-With 20 bands of 4 coordinates a pair at the threshold is missed with a chance of 4e-7.
+With 20 bands of 4 coordinates a pair at 85 percent is missed with a chance of 4e-7, one at 80 percent of 3e-5.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from tidegraph.llm.components import components
 from tidegraph.llm.shingles import U, mix, shingle_sets
 
 BANDS, ROWS = 20, 4
-PERCENT = 85
+PERCENT, LOOSE = 85, 80
 _U32 = np.uint32
 _TILE = 1 << 13
 
@@ -96,22 +97,22 @@ def _sets(texts: DataFrame) -> DataFrame:
     return map_rows(texts, step, "node long, set array<long>")
 
 
-def _open(n_a: Column, own_a: Column, n_b: Column, own_b: Column) -> Column:
+def _open(n_a: Column, own_a: Column, n_b: Column, own_b: Column, percent: int) -> Column:
     """Whether two sets may still reach the threshold: they share at most what neither has for itself."""
     most = F.least(n_a - own_a, n_b - own_b)
-    return 100 * most >= PERCENT * (n_a + n_b - most)
+    return 100 * most >= percent * (n_a + n_b - most)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     joined = pairs.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return joined.filter(100 * shared >= PERCENT * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    return joined.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def links(classes: DataFrame, documents: DataFrame) -> DataFrame:
+def links(classes: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes (node, text_hash, n, bands) that connect just what all links together would.
 
     `documents` gives the texts for the exact comparison.
@@ -135,18 +136,18 @@ def links(classes: DataFrame, documents: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("own"))
     )
     sized = buckets.join(own, "node", "left").fillna(0, ["own"])
-    held = cut(sized.filter(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n")))
+    held = cut(sized.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")))
 
     # Round 1: each bucket's members against its pivot.
     part = (F.col("own") / F.col("n")).alias("part")
     pivots = held.groupBy("key").agg(F.min(F.struct(part, "node", "n", "own")).alias("p"), F.count(F.lit(1)).alias("_n"))
     against = held.join(pivots.filter("_n > 1"), "key").filter(F.col("node") != F.col("p.node"))
     pairs = (
-        against.filter(_open(F.col("n"), F.col("own"), F.col("p.n"), F.col("p.own")))
+        against.filter(_open(F.col("n"), F.col("own"), F.col("p.n"), F.col("p.own"), percent))
         .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         .distinct()
     )
-    first = cut(_verified(pairs, sets))
+    first = cut(_verified(pairs, sets, percent))
 
     # Round 2: each bucket's minorities against all of it, by their exact differences from the major component's least member.
     known = components(first)
@@ -161,8 +162,8 @@ def links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     told = cut(mixed.join(_differences(mixed.select("node", "major").distinct(), sets), ["node", "major"]))
     minor, other = told.filter("component <> major"), told.toDF(*(f"_{c}" for c in told.columns))
     apart = (minor["key"] == other["_key"]) & (F.col("component") != F.col("_component"))
-    bounds = _open(F.col("n"), F.col("own"), F.col("_n"), F.col("_own"))
-    rest = minor.join(other, apart & bounds & _reaches_by_differences())
+    bounds = _open(F.col("n"), F.col("own"), F.col("_n"), F.col("_own"), percent)
+    rest = minor.join(other, apart & bounds & _reaches_by_differences(percent))
     return first.unionByName(cut(rest.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()))
 
 
@@ -182,16 +183,16 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _reaches_by_differences() -> Column:
+def _reaches_by_differences(percent: int) -> Column:
     """Whether two sets told by their differences from the same third one reach the threshold, exactly."""
     n, many, few = F.col("n") + F.col("_n"), F.size, F.least
     most = F.col("whole") - F.greatest(many("gone"), many("_gone")) + few(many("came"), many("_came"))
     both_gone = many("gone") + many("_gone") - many(F.array_intersect("gone", "_gone"))
     shared = F.col("whole") - both_gone + many(F.array_intersect("came", "_came"))
-    return (100 * most >= PERCENT * (n - most)) & (100 * shared >= PERCENT * (n - shared))
+    return (100 * most >= percent * (n - most)) & (100 * shared >= percent * (n - shared))
 
 
-def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least id it is linked to over any path, or its own) and kept."""
     signed = cut(signatures(documents, bands, rows))
     with_id = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -202,7 +203,7 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS)
         .select("set_key", F.col("least.doc_id").alias("node"), "least.text_hash", "least.bands", "n")
     )
     same_id = with_id.join(classes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    joined = components(links(classes, documents).unionByName(same_id.filter("a <> b").distinct()))
+    joined = components(links(classes, documents, percent).unionByName(same_id.filter("a <> b").distinct()))
     return (
         signed.select("doc_id", "n_shingles")
         .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -211,9 +212,9 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS)
     )
 
 
-def without_copies(documents: DataFrame) -> DataFrame:
+def without_copies(documents: DataFrame, percent: int = LOOSE) -> DataFrame:
     """`documents` with one row of each group of near-duplicates; rows without an id all stay."""
-    kept = near_duplicates(documents.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
+    kept = near_duplicates(documents.select("doc_id", "text"), percent=percent).filter("kept").select("doc_id").distinct()
     found = documents.filter("doc_id IS NOT NULL").join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"))
     first = Window.partitionBy("_kept").orderBy(F.xxhash64("text"))
     once = found.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*documents.columns)

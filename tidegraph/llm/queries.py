@@ -37,7 +37,7 @@ def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=minhash.PERCENT)
 
 
 def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
