@@ -48,3 +48,18 @@ def test_a_whole_window_is_exact_with_ties_and_odd_rows(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == sorted((q, k, i) for q, k, i, _ in want)
     assert max(r["rank"] for r in found if r.query_id == 100) == 5
     assert nearest_vectors(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_small_groups_fill_every_rank_with_the_default_window(spark):
+    rng = np.random.default_rng(4)
+    sizes = {1000 * n: n for n in [*range(2, 41), 100, 400]}  # a vector length of its own for each size
+    vectors = {first + k: rng.normal(size=n + 2) for first, n in sizes.items() for k in range(n)}
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "vec_id long, embedding array<double>")
+    found = nearest_vectors(table, F.col("vec_id") >= 0).collect()
+    ranks = {}
+    for r in found:
+        ranks.setdefault(r.query_id, []).append(r["rank"])
+    assert {k: sorted(r) for k, r in ranks.items()} == {k: list(range(1, min(20, sizes[k // 1000 * 1000] - 1) + 1)) for k in vectors}
+    small = {k: v for k, v in vectors.items() if k < 41_000}
+    want = {(q, k, i) for q, k, i, _ in brute(small, 20)}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found if r.query_id % 20 == 0 and r.query_id in small} == want

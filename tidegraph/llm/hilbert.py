@@ -6,7 +6,8 @@ ordering by curve key and numbers it, which cuts it into `CELLS` cells of equal
 cells within its window of each ordering; a cell's vectors stream past a block of queries, which keeps the best
 so far, and the cells' best merge and are ranked by their exact inner product in double precision.
 
-`window` is the share of an ordering that a query looks at.  Clustered data needs
+`window` is the share of an ordering that a query looks at, but never fewer than `LEAST` * (nearest + 1) places, or all of a
+shorter ordering; so every rank is filled that has a candidate.  Clustered data needs
 little of it.  Vectors spread evenly in 64 dimensions have no neighbourhood that a few
 coordinates could show, and a recall above 0.9 takes wide windows: see the README for figures.
 
@@ -32,7 +33,7 @@ from tidegraph.llm.pivots import matrix, usable
 from tidegraph.operators.ordering import with_sequence
 
 CURVES, AXES, BITS = 3, 4, 15
-WINDOW = 0.55
+WINDOW, LEAST = 0.55, 4
 CELLS, QUERY_BLOCK = 16, 4096
 NEAREST = 20
 SAMPLE = 4096
@@ -195,7 +196,7 @@ def nearest_vectors(
         .withColumn("rank", F.col("number") - F.col("first"))
         .select("vec_id", "dim", "curve", "rank", "rows")
     )
-    wide = F.greatest(F.lit(1), F.ceil(F.col("rows") * window))
+    wide = F.least(F.col("rows"), F.greatest(F.lit(LEAST * (nearest + 1)), F.ceil(F.col("rows") * window)))
     low = F.greatest(F.lit(0), F.least(F.col("rank") - F.floor(wide / 2), F.col("rows") - wide))
     asked = placed.join(vectors.filter(is_query), "vec_id")
     blocks = max(1, -(-vectors.filter(is_query).count() // QUERY_BLOCK))
