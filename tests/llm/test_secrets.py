@@ -75,6 +75,40 @@ def test_structures_are_confirmed():
     assert not kinds(TOKEN.replace(TOKEN[:10], "eyJhbGxx99")) and not kinds("M" * 60)
 
 
+def test_keys_with_escaped_line_ends():
+    for key in (RSA, PKCS8, SSH):
+        pem = f"-----BEGIN PRIVATE KEY-----\n{base64.encodebytes(key).decode()}-----END PRIVATE KEY-----"
+        for text in (json.dumps({"private_key": pem + "\n"}), json.dumps(json.dumps(pem)), json.dumps(pem.replace("\n", "\r\n")), json.dumps(pem).replace("/", "\\/")):
+            spans = [f for f in findings(text) if f[1] == 3]
+            assert spans == [(text.index("-----BEGIN"), 3, text.index("-----END") + 25)], text
+            assert "-----" not in redact(text, findings(text))
+    run = base64.b64encode(RSA).decode()
+    text = json.dumps({"a": f"key:\n{run}\n{TOKEN}\n{PKCS8.hex()}\t{TOKEN}"})
+    at = text.index(run)
+    assert (at, 4, at + len(run)) in findings(text)
+    assert [k for _, k, _ in findings(text) if k > 2] == [4, 6, 4, 6]
+
+
+def test_armour_with_hyphens_in_its_headers():
+    body = base64.encodebytes(RSA).decode()
+    for head in ("Proc-Type: 4,CLEAR\nX-Made-By: a-b\n\n", "Comment: rsa-key-20200101 -- of -----me\n"):
+        block = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}-----END RSA PRIVATE KEY-----"
+        for before in ("", "starts with -----BEGIN RSA PRIVATE KEY----- as you see: "):
+            text = before + block + " after"
+            assert [f for f in findings(text) if f[1] == 3] == [(len(before), 3, len(before + block))]
+
+
+def test_token_headers_of_any_layout():
+    def parts(head, prefix=""):
+        coded = base64.urlsafe_b64encode(head.encode()).decode().rstrip("=")
+        return prefix + f"{coded}.{part({'sub': 'a'})}.{'A' * 43}"
+
+    for head in ('{"alg":"HS256"}', '{\n  "alg": "HS256"\n}', '{\t"alg":"HS256"}', '{\r\n"alg":"HS256"}', '{ "alg":"HS256"}', ' {"alg":"HS256"}', '\n{"alg":"HS256"}'):
+        assert kinds(parts(head)) == {"signed_token"}, head
+    assert [f[:2] for f in findings(parts('{"alg":"HS256"}', "session1."))] == [(9, 6)]
+    assert not kinds("documents.example.com and some-long-name.of.something")
+
+
 def test_redaction():
     text = f"a {TOKEN} b password=abcdefgh c"
     assert redact(text, findings(text)) == "a [SECRET] b [SECRET] c"

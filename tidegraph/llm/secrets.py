@@ -8,12 +8,13 @@ and parsed, and reported only if their inner structure holds:
   that of an RSA, EC or PKCS#8 private key;
 * `ssh_key`: the OpenSSH private key layout, every length-prefixed field in place;
 * `armoured_key`: a PRIVATE KEY block whose body decodes to either of these, or
-  is an encrypted body (PKCS#8 `EncryptedPrivateKeyInfo`);
+  is an encrypted body (PKCS#8 `EncryptedPrivateKeyInfo`); header lines are skipped and
+  escaped line ends undone, but the bare ciphertext under a `DEK-Info` line has no structure to confirm;
 * `signed_token`: three base64url segments, the first a JSON object naming an
   algorithm, the second a JSON object, the third a signature (empty only for
   algorithm `none`).
 
-Unarmoured candidates are whole runs of their alphabet on one line.  A null text
+Unarmoured candidates are whole runs of their alphabet on one line; an escaped line end ends a run.  A null text
 is an empty one; repeated rows each get their own result; other columns are
 left alone.  Spans are code points, the end exclusive.
 """
@@ -42,10 +43,14 @@ _ASSIGN = re.compile(
 _SIGN = re.compile(r"[:=]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*)-----END \1-----")
-_RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_RUN16 = re.compile(r"[0-9A-Fa-f]{64,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_ESCAPE = r"[nrt]|u000[9aAdD]"  # what follows the backslash of an escaped line end or tab
+_ESCAPED = re.compile(rf"\\+(?:{_ESCAPE})")
+_RUN64 = re.compile(rf"(?:(?<=\\)(?:{_ESCAPE}))?([A-Za-z0-9+/_-]{{40,}}={{0,2}})")
+_RUN16 = re.compile(rf"(?:(?<=\\)(?:{_ESCAPE}))?([0-9A-Fa-f]{{64,}})")
+_TOKEN = re.compile(
+    rf"(?:(?<=\\)(?:{_ESCAPE})|(?<![A-Za-z0-9_-]))(?=([A-Za-z0-9_-]{{8,}})\.([A-Za-z0-9_-]{{2,}})\.([A-Za-z0-9_-]*))"
+)
 _SSH_MAGIC = b"openssh-key-v1\0"
 
 _INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
@@ -153,6 +158,25 @@ def is_signed_token(header: str, claims: str, signature: str) -> bool:
     return raw is not None and len(raw) >= 16
 
 
+def armoured(text: str) -> list[tuple[int, str, int]]:
+    """(start, body, end) of the armoured blocks: from a BEGIN line to the first END line of its kind before the next BEGIN."""
+    begins = list(_BEGIN.finditer(text))
+    blocks = []
+    for m, bound in zip(begins, [*(m.start() for m in begins[1:]), len(text)], strict=True):
+        last = f"-----END {m[1]}-----"
+        at = text.find(last, m.end(), bound)
+        if at >= 0:
+            blocks.append((m.start(), text[m.end() : at], at + len(last)))
+    return blocks
+
+
+def is_armoured_key(body: str) -> bool:
+    """Whether an armoured body, its line ends and slashes escaped or not, holds a private key."""
+    lines = re.sub(r"\\+/", "/", _ESCAPED.sub("\n", body)).split("\n")
+    raw = decode64("".join("".join(x.split()) for x in lines if ":" not in x))  # without Proc-Type and the like
+    return bool(raw) and (is_der_key(raw, encrypted=True) or is_ssh_key(raw))
+
+
 def findings(text: str) -> list[tuple[int, int, int]]:
     """(start, place in KINDS, end) of all secrets of a text, in that order."""
     found = []
@@ -161,27 +185,22 @@ def findings(text: str) -> list[tuple[int, int, int]]:
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        for m in _ARMOUR.finditer(text):
-            lines = m[2].split("\n")
-            body = "".join("".join(x.split()) for x in lines if ":" not in x)  # without Proc-Type and the like
-            raw = decode64(body)
-            if raw and (is_der_key(raw, encrypted=True) or is_ssh_key(raw)):
-                found.append((m.start(), 3, m.end()))
+        found += [(start, 3, end) for start, body, end in armoured(text) if is_armoured_key(body)]
     for m in _RUN64.finditer(text):
-        run = m[0]
+        run = m[1]
         if run[0] == "M" and (raw := decode64(run)) and is_der_key(raw):
-            found.append((m.start(), 4, m.end()))
+            found.append((m.start(1), 4, m.end()))
         elif run.startswith("b3BlbnNzaC1rZXktdjE") and (raw := decode64(run)) and is_ssh_key(raw):
-            found.append((m.start(), 5, m.end()))
+            found.append((m.start(1), 5, m.end()))
     for m in _RUN16.finditer(text):
-        run = m[0]
+        run = m[1]
         if len(run) % 2 == 0 and run[:2] in ("30", "6f", "6F"):
             raw = bytes.fromhex(run)
             kind = 4 if is_der_key(raw) else 5 if is_ssh_key(raw) else None
             if kind is not None:
-                found.append((m.start(), kind, m.end()))
+                found.append((m.start(1), kind, m.end()))
     if text.count(".") >= 2:
-        found += [(m.start(), 6, m.end()) for m in _TOKEN.finditer(text) if m[1][:2] == "ey" and is_signed_token(*m.groups())]
+        found += [(m.start(1), 6, m.end(3)) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
     return sorted(found)
 
 
