@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.lineage import shared_folder
+
 BATCH_ROWS = 2_000
 
 
@@ -52,5 +55,12 @@ def map_rows(df: DataFrame, step: Callable[[pa.Table], pa.Table | None], schema:
     return map_batches(df, run, schema)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder once and read back; a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def texts_of(rows: pa.Table, column: str = "text") -> list[str]:
     return [x or "" for x in rows[column].to_pylist()]

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import hilbert, language, minhash, mixing, pivots, secrets, sentencepieces, sharding, toxicity, warc
+from tidegraph.llm import (
+    divergence,
+    hilbert,
+    language,
+    minhash,
+    mixing,
+    pivots,
+    secrets,
+    sentencepieces,
+    sharding,
+    tileranking,
+    tokencount,
+    toxicity,
+    warc,
+)
 from tidegraph.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +72,18 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, language.learn(documents))
 
 
+def _tileranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tileranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.prove(tokencount.default_model()))
+
+
+def _divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def registered_queries() -> dict[str, Query]:
     return {
         "op1_sentencepieces": _sentencepieces,
@@ -70,4 +96,7 @@ def registered_queries() -> dict[str, Query]:
         "op8_minhash": _minhash,
         "op9_toxicity": _toxicity,
         "op10_sharding": _sharding,
+        "op11_tileranking": _tileranking,
+        "op12_tokencount": _tokencount,
+        "op13_divergence": _divergence,
     }
