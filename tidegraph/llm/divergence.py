@@ -205,7 +205,7 @@ def pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
         .select("lang", "low", "high", "bucket", "source", "own", "index", "p", "base")
     )
     tiles = dealt.groupBy("lang", "low", "high", "bucket").applyInArrow(_pair_tile, "lang string, a string, b string, part long, held long")
-    once = tiles.groupBy("lang", "a", "b").agg(F.sum("part").alias("part"), F.sum("held").alias("held"))
+    once = tiles.groupBy("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("part").alias("part"), F.sum("held").alias("held"))
     one, two = F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))
     summed = once.select("lang", F.explode(F.array(one, two)).alias("_pair"), "part", "held").select("lang", "_pair.*", "part", "held")
     left = groups.select("lang", "source", "size", "base", F.col("own").alias("_x"), _others().alias("_y"))
