@@ -40,7 +40,7 @@ TERM_BYTES = 100
 HELD_TERMS = 400_000
 HELD_ENTRIES = 1 << 21
 SOURCE_BLOCK = 64
-TERM_BUCKET = 16_384
+TERM_BUCKET = 2_048
 GROUP = ["lang", "source"]
 
 
