@@ -8,6 +8,7 @@ a replay of every earlier round.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Materialise `df` as a Parquet table in the checkpoint folder and return that.
+
+    Unlike a checkpoint, the table has the size it has.  A checkpoint keeps the size that the
+    planner guessed, and where rounds join a table with itself the guesses multiply without bound.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def fixed_partitioning(spark: SparkSession, partitions: int):
     """Plan with a fixed number of hash partitions.

@@ -290,6 +290,30 @@ def oracle_queries() -> dict[str, str]:
         "reverse_closure_multi": _closure_from(
             "SELECT 'part' AS type, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_type = 'ECONOMY'"
         ),
+        "closure_condensed": _closure_from(
+            "SELECT 'part' AS type, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_type = 'ECONOMY'"
+        ),
+        # Only resources that something refers to and that refer to something can be part of a cycle.
+        "strong_components": _with(
+            EDGES,
+            """inner_edges AS (
+                 SELECT e.* FROM edges e SEMI JOIN edges f ON e.from_type = f.to_type AND e.from_id = f.to_id
+                 SEMI JOIN edges g ON e.to_type = g.from_type AND e.to_id = g.from_id
+                 WHERE e.to_type IN ('nation', 'region') AND e.from_type IN ('nation', 'region')
+               ),
+               ups AS (
+                 SELECT from_type AS type, from_id AS id, to_type AS up_type, to_id AS up_id FROM inner_edges
+                 UNION
+                 SELECT u.type, u.id, e.to_type, e.to_id FROM ups u JOIN inner_edges e ON u.up_type = e.from_type AND u.up_id = e.from_id
+               ),
+               mates AS (
+                 SELECT u.* FROM ups u SEMI JOIN ups v ON v.type = u.up_type AND v.id = u.up_id AND v.up_type = u.type AND v.up_id = u.id
+               )""",
+            """SELECT type, id, min({'t': up_type, 'i': up_id}).t AS component_type, min({'t': up_type, 'i': up_id}).i AS component_id,
+                      count(*) AS members
+               FROM mates GROUP BY type, id HAVING count(*) > 1""",
+        ),
+        "propagate_condensed": _with(EDGES, CHANGES, "SELECT type, id, key FROM last_key"),
         "reverse_closure_dangling": _closure_from(
             "SELECT 'warehouse' AS type, CAST(p_size AS VARCHAR) AS id FROM part"
         ),

@@ -11,6 +11,7 @@ from tidegraph.functions.columns import micros
 from tidegraph.functions.events import event_lines, row_events
 from tidegraph.functions.jsontext import parsed, relationship_ids
 from tidegraph.lineage import cut
+from tidegraph.operators import condense as cd
 from tidegraph.operators import feeds as fd
 from tidegraph.operators import polling as pl
 from tidegraph.operators import validate as va
@@ -127,6 +128,28 @@ def reverse_closure_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reverse_closure(retail.edges(spark, sf_dir), _nodes(table(spark, sf_dir, "part"), "warehouse", "p_size"))
 
 
+@query
+def closure_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds of `reverse_closure_multi`, level by level over components."""
+    changed = table(spark, sf_dir, "part").filter("p_type = 'ECONOMY'")
+    graph = cd.condense_referrers(retail.edges(spark, sf_dir))
+    return cd.closure_condensed(graph, _nodes(changed, "part", "p_partkey"))
+
+
+@query
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of more than one resource: regions refer to their first nations and those to their regions."""
+    return cd.strong_components(cd.condense_referrers(retail.edges(spark, sf_dir))).filter("members > 1")
+
+
+@query
+def propagate_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest queue key that reaches each resource, level by level over components."""
+    graph = cd.condense_referrers(retail.edges(spark, sf_dir))
+    changes = samples.queued_changes(spark, sf_dir).select("type", "id", F.col("key").alias("value"))
+    return cd.spread_condensed(graph, changes).withColumnRenamed("value", "key")
+
+
 @query
 def max_relevant_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_relevant_seq(samples.history(spark, sf_dir), retail.edges(spark, sf_dir))
