@@ -17,12 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidegraph.lineage import cut, fixed_partitioning
+from tidegraph.lineage import cut, fixed_partitioning, settled
 from tidegraph.schema import NODE
 from tidegraph.skew import HOT_ROWS, key_load, partitions_for
 
 SRC = ["src_type", "src_id"]
 DST = ["dst_type", "dst_id"]
+WORD = 64
 
 
 @dataclass(frozen=True)
@@ -176,31 +177,47 @@ def max_relevant_seq(seqs: DataFrame, edges: DataFrame) -> DataFrame:
     return spread(adjacency(against_edges(edges)), seeds).withColumnRenamed("value", "max_seq")
 
 
+def _bits(mask: Column) -> Column:
+    """The places of the bits set in a BIGINT, most masks having one only."""
+    several = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.call_function("getbit", mask, k) == 1)
+    last = mask == F.lit(-(1 << (WORD - 1)))  # has no predecessor
+    single = F.when(last, F.lit(WORD - 1)).otherwise(F.bit_count(F.when(last, 1).otherwise(mask) - 1))
+    return F.when(F.bit_count(mask) == 1, F.array(single)).otherwise(several)
+
+
 def closure_each(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Per root, the nodes reachable in one hop or more: `(root_type, root_id, type, id)`.
 
-    The answer itself has one row per root and node, so this is for many small
-    closures; use `closure` where one shared set will do.  Nodes that many roots
-    reach make the frontier lopsided, so the joins here stay adaptive and skewed
-    partitions are split at run time.
+    A multi-source search by bitmaps: roots are numbered, 64 to a word, and a word travels with one mask per node
+    instead of one row per root.  Masks that meet are merged by `bit_or`, and a round sends on only bits that are new to
+    a node.  Each round's new bits are a table of their own; what arrives is compared with the rows of the
+    same word and node only, which is a broadcast of the arrivals where they are few.  Rows of root and node come into being at the
+    end.  The answer has one of them per root and node, so use `closure` where one shared set will do.
     """
-    pair = ["root_type", "root_id", *NODE]
-    links = cut(links.select(*SRC, *DST).distinct())
-    frontier = roots.select(F.col("type").alias("root_type"), F.col("id").alias("root_id"), *NODE).distinct()
-    found = None
+    key = ["word", *NODE]
+    links = settled(links.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), *DST))
+    heads = settled(roots.select(*NODE).distinct().withColumn("_at", F.monotonically_increasing_id()))
+    place = (F.col("_at") % WORD).cast("int")
+    frontier = heads.select(
+        F.floor(F.col("_at") / WORD).alias("word"), *NODE, F.call_function("shiftleft", F.lit(1).cast("bigint"), place).alias("mask")
+    )
+    found: DataFrame | None = None
     while True:
-        here = frontier.select(
-            "root_type", "root_id", F.col("type").alias("src_type"), F.col("id").alias("src_id")
-        )
-        step = (
-            here.join(links, SRC)
-            .select("root_type", "root_id", F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
-            .distinct()
-        )
+        arrived = frontier.join(links, NODE).groupBy("word", F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
+        arrived = arrived.agg(F.bit_or("mask").alias("mask"))
         if found is not None:
-            step = step.join(found, pair, "left_anti")
+            arrived = settled(arrived)
+            known = found.join(arrived.select(*key), key).groupBy(*key).agg(F.bit_or("mask").alias("_known"))
+            new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("bigint"))))
+            arrived = arrived.join(known, key, "left").select(*key, new.alias("mask")).filter("mask <> 0")
         growth = Observation()
-        frontier = cut(step.observe(growth, F.count(F.lit(1)).alias("rows")))
-        if growth.get["rows"] == 0:
-            return found if found is not None else frontier
+        frontier = settled(arrived.observe(growth, F.count(F.lit(1)).alias("rows")))
+        if found is not None and growth.get["rows"] == 0:
+            break
         found = frontier if found is None else found.unionByName(frontier)
+        if growth.get["rows"] == 0:
+            break
+    named = heads.select(F.col("type").alias("root_type"), F.col("id").alias("root_id"), "_at")
+    # A node's bits are spread over the rounds in which they arrived, each bit in one of them.
+    pairs = found.select(*NODE, (F.col("word") * WORD).alias("_base"), F.explode(_bits(F.col("mask"))).alias("_bit"))
+    return pairs.withColumn("_at", F.col("_base") + F.col("_bit")).join(named, "_at").select("root_type", "root_id", *NODE)
