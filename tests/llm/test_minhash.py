@@ -87,3 +87,13 @@ def test_long_chains_fold_up(spark):
     chain = [(k, k + 1) for k in range(300)] + [(1000, 1001), (1002, 1001)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(301)} | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_words_built_to_collide_in_a_polynomial_are_told_apart(spark):
+    """The Thue-Morse word and its complement agree modulo 2^64 under every base."""
+    bits = [bin(k).count("1") % 2 for k in range(2_048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    sets = shingle_sets(pa.chunked_array([pa.array([one, two, f"x y {one} z w", f"x y {two} z w", one])]))
+    assert sets[0].tolist() == sets[4].tolist() != sets[1].tolist() and sets[2].tolist() != sets[3].tolist()
+    rows = [(1, one), (2, two), (3, f"x y {one} z w"), (4, f"x y {two} z w")]
+    assert found(spark, rows) == brute(rows)

@@ -53,6 +53,14 @@ def test_empty_and_rows_without_id(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [("5", 0, "5", True), ("None", 0, "None", False)]
 
 
+def test_very_small_and_very_large_vectors(spark):
+    rows = []
+    for k, size in enumerate([1.0, 1e-170, 1e170, 1e-300, 1e300]):
+        rows += [(10 * k + n, k, [size * f * x for x in (3.0, -1.0, 2.0, 0.5)]) for n, f in enumerate([1.0, 2.5, 7.0])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(k, 2, k // 10 * 10) for k, _, _ in rows]
+
+
 def test_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.label, r.embedding) for r in table.collect()]

@@ -47,8 +47,13 @@ def matrix(column: pa.ChunkedArray, dim: int, kind: type = np.float64) -> np.nda
     return np.asarray(pc.list_flatten(column).to_numpy(), kind).reshape(-1, dim)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that neither products nor norms leave the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -115,7 +120,7 @@ def _group_links(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
     block, first, second = rows["block"].to_numpy(), rows["first"][0].as_py(), rows["second"][0].as_py()
     key, dim = rows["key"][0].as_py(), rows["dim"][0].as_py()
-    x = matrix(rows["embedding"], dim)
+    x = scaled(matrix(rows["embedding"], dim))
     size = np.linalg.norm(x, axis=1)
     sides = [np.flatnonzero(block == first), np.flatnonzero(block == second)] if first != second else [np.arange(len(node))] * 2
     last = key % PIVOTS

@@ -81,23 +81,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def running(data: np.ndarray) -> np.ndarray:
-    """`running[j] - running[i]`, shifted back, is the polynomial of the bytes from i to j."""
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum(_LETTER[data] * powers(BASE, len(data)), out=sums[1:])
-    return sums
-
-
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans from running sums of values times `BASE` to the power of their place."""
     return mix((sums[ends] - sums[starts]) * powers(_UNDO, len(sums))[starts])
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, A-Z in lower case, and the first word of each text."""
+    """The hash of every word, A-Z in lower case, and the first word of each text.
+
+    A word's hash sums a random value per byte and place in the word.  Unlike a polynomial modulo
+    a power of two, that has no words built to collide.
+    """
     data = _LOWER[data]
     starts, ends, first = word_spans(data, offsets, SPACES)
-    return span_hashes(running(data), starts, ends), first
+    begun = np.zeros(len(data), np.int64)
+    begun[starts] = starts
+    place = (np.arange(len(data)) - np.maximum.accumulate(begun)).astype(U)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(mix(_LETTER[data] + place * U(0x9E3779B97F4A7C15)), out=sums[1:])
+    return mix(sums[ends] - sums[starts]), first
 
 
 def shingle_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
