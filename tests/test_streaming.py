@@ -132,6 +132,28 @@ def test_another_checkpoint_is_another_writer(spark, tmp_path):
     assert store.read("resources").count() == 3
 
 
+def test_unreadable_lines_are_set_aside(spark, tmp_path):
+    """Broken lines change no state, take no other write with them and come out with their file and text."""
+    good = [put(0, "n", "a", 1, {"v": 1}), put(1, "n", "b", 1, {"v": 1}), put(2, "n", "a", 2, {}, op="delete")]
+    wrong_op, no_place = put(3, "n", "c", 1, {}, op="patch"), put(4, "n", "d", 1, {})
+    del no_place["ord"]
+    same_place = {**put(1, "n", "e", 1, {}), "op": None}
+    broken = ["no json at all", '{"ord":7,', json.dumps(wrong_op), json.dumps(no_place), json.dumps(same_place), "42", '{"ord":"x","op":"put"}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join([*broken[:3], "", *map(json.dumps, good), *broken[3:]]) + "\n")
+    root = str(tmp_path / "store")
+    start_propagation(stream_writes(spark, str(tmp_path / "in")), root, str(tmp_path / "check"), None, 4).awaitTermination()
+    store = SnapshotStore(spark, root, 4)
+    assert rows_of(store.read("resources"), "type", "id", "deleted") == [("n", "a", True), ("n", "b", False)]
+    assert rows_of(store.output("results"), "ord", "result") == [(0, "Created"), (1, "Created"), (2, "Updated")]
+    rejected = store.output("rejected").collect()
+    details = [json.loads(r.detail) for r in rejected]
+    assert len(rejected) == len(broken) and {r.reason for r in rejected} == {"malformed"}
+    assert all(d["file"].endswith("in/0.json") for d in details)
+    assert {"no json at all", '{"ord":7,', "42", '{"ord":"x","op":"put"}'} <= {d["text"] for d in details}
+    assert {json.loads(d["text"]).get("path_id") for d in details if "path_id" in d["text"]} == {"c", "d", "e"}
+
+
 def test_change_reaches_referrers_only(spark, tmp_path):
     """A change of the parent renumbers its child and grandchild, and nobody else."""
     root = str(tmp_path / "store")

@@ -12,7 +12,7 @@ from tidegraph.functions.jsontext import (
     string_member,
 )
 from tidegraph.lineage import cut
-from tidegraph.schema import NODE
+from tidegraph.schema import NODE, RAW_WRITES, UNREADABLE
 
 MAX_BATCH = 10_000
 
@@ -56,6 +56,9 @@ def _bad_relationship(doc: Column) -> Column:
 RESERVED_MEMBER = r'[{,]"(links|relationships)":'
 
 
+OPERATIONS = ["put", "delete"]
+
+
 def document_fault(doc: Column) -> Column:
     """Why a resource document (parsed) is invalid, or NULL.
 
@@ -133,26 +136,38 @@ def accepted_items(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     return items.join(refused, "batch_id", "left_anti")
 
 
+def unreadable(rows: DataFrame) -> Column:
+    """Whether a row is no write at all: its line could not be read, or it lacks a place, a path or a known `op`."""
+    known = F.coalesce(F.col("op").isin(OPERATIONS), F.lit(False))
+    broken = ~known | F.col("ord").isNull() | F.col("path_type").isNull() | F.col("path_id").isNull()
+    return broken | F.col(UNREADABLE).isNotNull() if UNREADABLE in rows.columns else broken
+
+
 def split_writes(raw: DataFrame, normalised: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted write rows and `rejected(ord, reason, pointer, detail)`.
 
     `raw` has the document under `{"data": ...}`, `normalised` the write rows;
-    both are keyed by `ord`.  Deletes have no document to check.  The verdicts
+    both are keyed by `ord`.  Deletes have no document to check.  A row that is no write is `malformed`; its `detail`
+    holds the file, if known, and the text of the line, and it takes no other row with it, whatever its `ord`.  The verdicts
     are cut: both results need them, and a filter on a verdict would otherwise
     be pushed down and evaluate all of it again.
     """
-    doc = F.col("_doc")
+    doc, broken = F.col("_doc"), unreadable(raw)
     fault = F.coalesce(
         document_fault(doc),
         path_fault(F.col("path_type"), F.col("path_id"), string_member(doc, "type"), string_member(doc, "id")),
     )
+    line = F.to_json(F.struct(*(c for c in RAW_WRITES.fieldNames() if c in raw.columns)))
+    text = F.coalesce(UNREADABLE, line) if UNREADABLE in raw.columns else line
+    file = F.col("file") if "file" in raw.columns else F.lit(None).cast("string")
+    path = F.struct(F.col("path_type").alias("type"), F.col("path_id").alias("id"))
     checked = raw.withColumn("_doc", member_doc(parsed(F.col("body")), "data")).select(
-        "ord", "path_type", "path_id", F.when(F.col("op") != "delete", fault).alias("reason")
-    )
-    rejected = cut(checked).filter("reason is not null").select(
         "ord",
-        "reason",
-        F.lit("/data").alias("pointer"),
-        F.to_json(F.struct(F.col("path_type").alias("type"), F.col("path_id").alias("id"))).alias("detail"),
+        F.when(broken, "malformed").otherwise(F.when(F.col("op") != "delete", fault)).alias("reason"),
+        F.when(broken, F.to_json(F.struct(file.alias("file"), text.alias("text")))).otherwise(F.to_json(path)).alias("detail"),
+        broken.alias("_broken"),
     )
-    return normalised.join(rejected.select("ord"), "ord", "left_anti"), rejected
+    faulty = cut(checked).filter("reason is not null")
+    rejected = faulty.select("ord", "reason", F.when(F.col("_broken"), "").otherwise("/data").alias("pointer"), "detail")
+    readable = normalised.filter(~unreadable(normalised)).drop(UNREADABLE, "file")
+    return readable.join(faulty.filter("NOT _broken").select("ord"), "ord", "left_anti"), rejected

@@ -600,6 +600,14 @@ def oracle_queries() -> dict[str, str]:
             """SELECT ord, reason, '/data' AS pointer, '{"type":"user","id":"' || path_id || '"}' AS detail
                FROM verdicts WHERE reason IS NOT NULL""",
         ),
+        # Text of a readable line is written anew from its columns, which are those of the line in their order.
+        "validate_unreadable": r"""
+            SELECT CASE WHEN event_type IN ('signup', 'error') THEN event_id END AS ord, 'malformed' AS reason,
+                   '{"ord":' || CASE WHEN event_type = 'purchase' THEN '"' || event_id || '"' ELSE event_id::VARCHAR END || ','
+                   || CASE event_type WHEN 'signup' THEN '' WHEN 'error' THEN '"op":"patch",' ELSE '"op":"put",' END
+                   || '"path_type":"user","path_id":"' || user_id || '","body":"{\"data\":{\"type\":\"user\",\"id\":\"' || user_id || '\"}}"'
+                   || CASE event_type WHEN 'view' THEN '' ELSE '}' END AS text
+            FROM events WHERE event_type IN ('view', 'signup', 'error', 'purchase')""",
         "accepted_writes": _with(
             WRITE_FAULTS,
             "SELECT ord, 'user' AS type, path_id AS id, 'part/' || k AS refs FROM verdicts WHERE reason IS NULL",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions.columns import micros
 from tidegraph.functions.events import event_lines, row_events
 from tidegraph.functions.jsontext import parsed, relationship_ids
-from tidegraph.lineage import cut
+from tidegraph.lineage import cut, shared_folder
 from tidegraph.operators import condense as cd
 from tidegraph.operators import feeds as fd
 from tidegraph.operators import polling as pl
@@ -24,7 +25,7 @@ from tidegraph.operators.ordering import with_sequence
 from tidegraph.operators.propagation import compact, expansion_counts, propagate, reached_by
 from tidegraph.operators.timing import debounce, heartbeats
 from tidegraph.sources import retail, samples
-from tidegraph.sources.documents import explode_batches, normalise
+from tidegraph.sources.documents import explode_batches, normalise, read_writes
 from tidegraph.sources.retail import table, text
 
 HOUR_US = 3_600_000_000
@@ -562,6 +563,16 @@ def validate_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected
 
 
+@query
+def validate_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written and read again; those that are no writes are set aside with their text."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4()}"
+    samples.write_lines(spark, sf_dir).select("value").write.text(folder)
+    raw = read_writes(spark, folder)
+    _, rejected = va.split_writes(raw, normalise(raw))
+    return rejected.select("ord", "reason", F.get_json_object("detail", "$.text").alias("text"))
+
+
 @query
 def accepted_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = samples.event_documents(spark, sf_dir)

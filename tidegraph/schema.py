@@ -70,6 +70,10 @@ RAW_WRITES = T.StructType(
     ]
 )
 
+# What a reader adds to raw writes: the text of a line that is no such row, and where it was read.
+UNREADABLE = "unreadable"
+READ_WRITES = T.StructType([*RAW_WRITES, T.StructField(UNREADABLE, T.StringType())])
+
 # One request holding a list of documents under `data`.
 RAW_BATCHES = T.StructType(
     [

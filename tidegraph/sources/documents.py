@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.jsontext import IDENTIFIERS, member, member_doc, parsed, relationship_ids, string_member
-from tidegraph.schema import RAW_BATCHES, RAW_WRITES
+from tidegraph.schema import RAW_BATCHES, READ_WRITES, UNREADABLE
+
+
+def _located(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("file", F.col("_metadata.file_path"))
 
 
 def read_writes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_WRITES).json(path)
+    """Raw writes, one JSON object a line, with `file` and, for a line that is none, its text in `unreadable`."""
+    return _located(spark.read.schema(READ_WRITES).option("columnNameOfCorruptRecord", UNREADABLE).json(path))
 
 
 def stream_writes(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Raw writes as a stream; `files_per_batch` is the pacing of the propagation job."""
-    return spark.readStream.schema(RAW_WRITES).option("maxFilesPerTrigger", files_per_batch).json(path)
+    lines = spark.readStream.schema(READ_WRITES).option("columnNameOfCorruptRecord", UNREADABLE)
+    return _located(lines.option("maxFilesPerTrigger", files_per_batch).json(path))
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

@@ -102,6 +102,18 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per event as a client might send it: cut off, without `op`, with an unknown one, with a wrong `ord`, or right."""
+    kind = F.col("event_type")
+    place = F.when(kind == "purchase", F.concat(F.lit('"'), text("event_id"), F.lit('"'))).otherwise(text("event_id"))
+    op = F.when(kind == "signup", "").when(kind == "error", '"op":"patch",').otherwise('"op":"put",')
+    named = F.concat(F.lit('"path_type":"user","path_id":"'), text("user_id"), F.lit('"'))
+    body = F.concat(F.lit(r',"body":"{\"data\":{\"type\":\"user\",\"id\":\"'), text("user_id"), F.lit(r'\"}}"'))
+    end = F.when(kind == "view", "").otherwise("}")
+    line = F.concat(F.lit('{"ord":'), place, F.lit(","), op, named, body, end)
+    return table(spark, sf_dir, "events").select("event_id", line.alias("value"))
+
+
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as a resource; French ones hold it under a member that attributes may not have."""
     member = F.when(F.col("lang") == "fr", F.lit("links")).otherwise(F.col("lang"))
