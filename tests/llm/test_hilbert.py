@@ -44,8 +44,12 @@ def test_a_whole_window_is_exact_with_ties_and_odd_rows(spark):
     bad = [(200, None), (220, [0.0, 0.0]), (201, [float("nan"), 1.0]), (202, [float("inf"), 1.0]), (203, [None, 1.0]), (None, [1.0, 2.0]), (204, [])]
     table = spark.createDataFrame([(k, v, 0.5) for k, v in rows + bad], "vec_id long, embedding array<double>, rank double")
     found = nearest_vectors(table, F.col("vec_id") % 20 == 0, nearest=8, window=1.0).collect()
-    want = brute({k: np.array(v) for k, v in vectors.items()}, 8)
-    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == sorted((q, k, i) for q, k, i, _ in want)
+    # row 3 comes twice and is a candidate twice
+    want = []
+    for q in (k for k in vectors if k % 20 == 0):
+        others = [(-float(np.dot(vectors[q], v)), k) for k, v in rows if k != q and len(v) == len(vectors[q])]
+        want += [(q, n + 1, k) for n, (_, k) in enumerate(sorted(others)[:8])]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == sorted(want)
     assert max(r["rank"] for r in found if r.query_id == 100) == 5
     assert nearest_vectors(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -63,3 +67,35 @@ def test_small_groups_fill_every_rank_with_the_default_window(spark):
     small = {k: v for k, v in vectors.items() if k < 41_000}
     want = {(q, k, i) for q, k, i, _ in brute(small, 20)}
     assert {(r.query_id, r["rank"], r.vec_id) for r in found if r.query_id % 20 == 0 and r.query_id in small} == want
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0]), (1, [1.0, 1.0])]
+    found = nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    per_query = [[(20, 0.0), (20, 0.0), (1, 1.0)], *[[(20, 0.0), (20, 4.0), (1, 2.0)]] * 2]
+    assert sorted((r.query_id, r["rank"], r.score) for r in found) == sorted(
+        (20, k + 1, s) for each in per_query for k, s in enumerate(sorted((s for _, s in each), reverse=True))
+    )
+
+
+@pytest.mark.parametrize("size", [2.0**-560, 2.0**-20, 2.0**530])
+def test_vectors_of_any_magnitude(spark, size):
+    rng = np.random.default_rng(6)
+    near = {k: rng.normal(size=8) for k in range(60)}
+    table = spark.createDataFrame([(k, (v * size).tolist()) for k, v in near.items()], "vec_id long, embedding array<double>")
+    found = nearest_vectors(table, F.col("vec_id") % 20 == 0, nearest=5, window=1.0).collect()
+    assert len(found) == 15 and not any(np.isnan(r.score) for r in found)
+    if size == 2.0**-20:
+        assert {(r.query_id, r["rank"], r.vec_id) for r in found} == {(q, k, i) for q, k, i, _ in brute(near, 5)}
+        assert all(r.score == np.einsum("d,d", near[r.query_id] * size, near[r.vec_id] * size) for r in found)
+    elif size > 1:  # beyond the range of doubles: infinite, ties to the smaller id
+        first = {r.query_id: r.vec_id for r in found if r["rank"] == 1}
+        for q in (0, 20, 40):
+            assert first[q] == min(k for k in near if k != q and np.dot(near[q], near[k]) > 0.5)
+
+
+def test_large_cancelling_components_do_not_hide_a_neighbour(spark):
+    rows = [(0, [2.0**20, 2.0**20, 1.0])] + [(k, [2.0**20, -(2.0**20), float(k)]) for k in range(1, 50)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest_vectors(table, F.col("vec_id") == 0, nearest=3, window=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(49, 49.0), (48, 48.0), (47, 47.0)]

@@ -13,7 +13,9 @@ coordinates could show, and a recall above 0.9 takes wide windows: see the READM
 
 Rotations and shifts are fixed; scale and centre come from a sample of at most `SAMPLE` vectors.  Every vector
 is indexed.  Vectors that are null, empty, zero or hold null or non-finite components, and rows without id, take no part;
-vectors of unequal length don't meet.  Rows that share an id count as one, with the least vector.
+vectors of unequal length don't meet.  Every row is a candidate and, if asked for, a query of its own, also
+where ids repeat; a row is never its own neighbour.  Products are taken on vectors scaled by powers of two, which changes no
+bit of an ordinary score; a score beyond the range of doubles is infinite, never NaN, and ties there go to the smaller id.
 """
 
 from __future__ import annotations
@@ -70,6 +72,12 @@ def curve_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled by powers of two to a largest component in [0.5, 1), and the exponents taken out."""
+    powers = np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+    return np.ldexp(x, -powers[:, None]), powers
+
+
 class Curve:
     """A rotation, a shift, and the centre and scale of the projected coordinates."""
 
@@ -78,17 +86,20 @@ class Curve:
         turned = np.linalg.qr(random.normal(size=(sample.shape[1], sample.shape[1])))[0]
         self.axes = turned[:, :AXES]
         self.shift = random.random(self.axes.shape[1])
-        seen = sample @ self.axes
+        self.power = int(np.frexp(np.abs(sample).max(initial=0.0))[1])
+        seen = np.ldexp(sample, -self.power) @ self.axes
         self.centre, self.scale = seen.mean(axis=0), np.maximum(seen.std(axis=0), 1e-12)
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        even = 0.5 * (1 + _erf((x @ self.axes - self.centre) / self.scale / np.sqrt(2)))  # about uniform on (0, 1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            seen = (np.ldexp(x, -self.power) @ self.axes - self.centre) / self.scale / np.sqrt(2)
+        even = 0.5 * (1 + _erf(np.nan_to_num(seen)))  # about uniform on (0, 1)
         return curve_keys(np.minimum((even + self.shift) / 2 * (1 << BITS), (1 << BITS) - 1).astype(np.int64))
 
 
 def curves_of(vectors: DataFrame, count: int) -> dict[int, list[Curve]]:
-    """The curves per vector length, fitted on the vectors of the least hashed ids."""
-    rows = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    """The curves per vector length, fitted on the vectors of the least hashed ids (`SAMPLE` rows at most)."""
+    rows = vectors.select("row", "embedding").orderBy(F.xxhash64("vec_id"), "row").limit(SAMPLE).collect()
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(len(r.embedding), []).append(r.embedding)
@@ -96,7 +107,7 @@ def curves_of(vectors: DataFrame, count: int) -> dict[int, list[Curve]]:
 
 
 def _keyed(vectors: DataFrame, curves: dict[int, list[Curve]], count: int) -> DataFrame:
-    """(vec_id, dim, curve, key): every vector's place on every curve."""
+    """(row, dim, curve, key): every vector's place on every curve."""
 
     def step(rows: pa.Table) -> pa.Table:
         dims = pc.list_value_length(rows["embedding"]).to_numpy()
@@ -108,14 +119,14 @@ def _keyed(vectors: DataFrame, curves: dict[int, list[Curve]], count: int) -> Da
             keys[at] = np.stack([c.keys(x) for c in own], axis=1)
         return pa.table(
             {
-                "vec_id": rows["vec_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(dims)), count))),
+                "row": rows["row"].combine_chunks().take(pa.array(np.repeat(np.arange(len(dims)), count))),
                 "dim": np.repeat(dims, count).astype(np.int32),
                 "curve": np.tile(np.arange(count, dtype=np.int32), len(dims)),
                 "key": keys.ravel(),
             }
         )
 
-    return map_rows(vectors.select("vec_id", "embedding"), step, "vec_id long, dim int, curve int, key long")
+    return map_rows(vectors.select("row", "embedding"), step, "row long, dim int, curve int, key long")
 
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -133,23 +144,27 @@ def _nearest(found: Found, nearest: int) -> Found:
 def _best(queries: pa.Table, candidates: pa.Table, nearest: int) -> Found:
     """The nearest of some candidates for each query."""
     dim = queries["dim"][0].as_py()
-    q, c = matrix(queries["embedding"], dim), matrix(candidates["embedding"], dim)
-    q_id, c_id = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
-    rough = q @ c.T
-    rough[q_id[:, None] == c_id[None, :]] = -np.inf
-    if len(c_id) > nearest:
-        last = np.partition(rough, len(c_id) - nearest, axis=1)[:, len(c_id) - nearest]
-        close = rough >= (last - 1e-9 * np.maximum(1.0, np.abs(last)))[:, None]
-    else:
-        close = np.ones(rough.shape, bool)
-    row, column = np.nonzero(close & (rough > -np.inf))
-    score = np.einsum("kd,kd->k", q[row], c[column])  # the same sum for equal vectors, wherever they stand
+    q, q_power = scaled(matrix(queries["embedding"], dim))
+    c, c_power = scaled(matrix(candidates["embedding"], dim))
+    q_id, c_id = queries["row"].to_numpy(), candidates["row"].to_numpy()
+    close = q_id[:, None] != c_id[None, :]
+    with np.errstate(over="ignore", under="ignore"):
+        if len(c_id) > nearest:
+            powers = q_power[:, None] + c_power[None, :]
+            rough = q @ c.T
+            slack = 1e-12 * dim * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]  # far above rounding
+            least = np.where(close, np.ldexp(rough - slack, powers), -np.inf)
+            last = np.partition(least, len(c_id) - nearest, axis=1)[:, len(c_id) - nearest]
+            close &= np.ldexp(rough + slack, powers) >= last[:, None]
+        row, column = np.nonzero(close)
+        # the same sum for equal vectors, wherever they stand
+        score = np.ldexp(np.einsum("kd,kd->k", q[row], c[column]), q_power[row] + c_power[column])
     return _nearest((q_id[row], c_id[column], score), nearest)
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
     """Cells of a sorted partition: first a cell's queries, at most about `QUERY_BLOCK`, then its vectors in batches."""
-    names, schema = ["dim", "curve", "cell", "block"], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    names, schema = ["dim", "curve", "cell", "block"], pa.schema([("query_row", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
     key, queries, found = None, [], None
 
     def told() -> Iterator[pa.RecordBatch]:
@@ -183,35 +198,35 @@ def nearest_vectors(
     cells: int = CELLS,
 ) -> DataFrame:
     """Per query (query_id, rank, vec_id, score): its `nearest` nearest found, by inner product, ties to the smaller id."""
-    vectors = cut(
-        embeddings.filter(F.expr(usable("embedding")) & F.col("vec_id").isNotNull())
-        .groupBy(F.col("vec_id").cast("long").alias("vec_id"))
-        .agg(F.min("embedding").alias("embedding"))
+    rows = embeddings.filter(F.expr(usable("embedding")) & F.col("vec_id").isNotNull()).select(
+        F.col("vec_id").cast("long").alias("vec_id"), "embedding"
     )
+    # Rows are numbered in the order of ids, so that numbers stand in for them and break ties alike.
+    vectors = cut(with_sequence(rows, ["vec_id", "embedding"], "row"))
     keyed = _keyed(vectors, curves_of(vectors, curves), curves)
-    ordered = with_sequence(keyed, ["dim", "curve", "key", "vec_id"], "number")
+    ordered = with_sequence(keyed, ["dim", "curve", "key", "row"], "number")
     sizes = ordered.groupBy("dim", "curve").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("rows"))
     placed = cut(
         ordered.join(F.broadcast(sizes), ["dim", "curve"])  # a row per vector length and curve
         .withColumn("rank", F.col("number") - F.col("first"))
-        .select("vec_id", "dim", "curve", "rank", "rows")
+        .select("row", "dim", "curve", "rank", "rows")
     )
     wide = F.least(F.col("rows"), F.greatest(F.lit(LEAST * (nearest + 1)), F.ceil(F.col("rows") * window)))
     low = F.greatest(F.lit(0), F.least(F.col("rank") - F.floor(wide / 2), F.col("rows") - wide))
-    asked = placed.join(vectors.filter(is_query), "vec_id")
+    asked = placed.join(vectors.filter(is_query), "row")
     blocks = max(1, -(-vectors.filter(is_query).count() // QUERY_BLOCK))
     group = ["dim", "curve", "cell", "block"]
     queries = asked.select(
-        "vec_id",
+        "row",
         "dim",
         "curve",
         F.explode(F.sequence(F.floor(low * cells / F.col("rows")), F.floor((low + wide - 1) * cells / F.col("rows")))).alias("cell"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"),
         F.lit(False).alias("candidate"),
         "embedding",
     )
-    candidates = placed.join(vectors, "vec_id").select(
-        "vec_id",
+    candidates = placed.join(vectors, "row").select(
+        "row",
         "dim",
         "curve",
         F.floor(F.col("rank") * cells / F.col("rows")).alias("cell"),
@@ -220,13 +235,15 @@ def nearest_vectors(
         "embedding",
     )
     dealt = queries.unionByName(candidates).repartition(*group).sortWithinPartitions(*group, "candidate")
-    found = map_batches(dealt, lambda rows: _streamed(rows, nearest), "query_id long, vec_id long, score double")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_batches(dealt, lambda rows: _streamed(rows, nearest), "query_row long, row long, score double")
+    by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), "row")
     # A candidate comes once per curve at most, so this many rows hold the nearest; Spark cuts to them before the shuffle.
     few = found.withColumn("_at", F.row_number().over(by_score)).filter(F.col("_at") <= nearest * curves)
-    once = few.dropDuplicates(["query_id", "vec_id"])
+    once = few.dropDuplicates(["query_row", "row"])
+    ranked = once.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= nearest)
+    ids = vectors.select("row", "vec_id")
     return (
-        once.withColumn("rank", F.row_number().over(by_score))
-        .filter(F.col("rank") <= nearest)
+        ranked.join(ids, "row")
+        .join(ids.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row")
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
