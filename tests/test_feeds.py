@@ -10,8 +10,9 @@ from tidegraph.functions.columns import clamp, clamp_scalar
 from tidegraph.functions.events import event_lines, error_events, keepalive_events
 from tidegraph.functions.jsontext import parsed
 from tidegraph.operators import feeds as fd
+from tidegraph.operators import polling as pl
 from tidegraph.operators import validate as va
-from tidegraph.operators.history import latest_per_key, scan_history
+from tidegraph.operators.history import latest_per_key, scan_clustered, scan_history, write_clustered
 from tidegraph.operators.ordering import previous_best, running_count, with_sequence
 from tidegraph.operators.timing import debounce, heartbeats
 from tidegraph.schema import CHANGEFEEDS, HISTORY
@@ -48,14 +49,18 @@ def test_registry_bounds_and_event_times(spark):
     assert {r["parent_max_ack"] for r in fd.registry(feeds.filter("parent_id is null"), empty).collect()} == {0}
 
 
-def test_pages_and_links(spark):
-    rows = feed_table(spark, [(f"f{i:03d}", None, None, 0) for i in range(120)])
-    ids = lambda n, s: [r["id"] for r in fd.page(rows, n, s).collect()]
-    assert ids(-100, 2) == ["f000", "f001"]
-    assert ids(0, -10) == ["f000"] and len(ids(0, 200)) == 100 and ids(1, 100)[0] == "f100"
-    assert fd.page_links(20, 25, 0) == {"self": 20, "first": 0, "prev": 19, "next": None}
-    assert fd.page_links(1, 1, 1) == {"self": 1, "first": 0, "prev": 0, "next": 2}
-    assert fd.page_links(0, 200, 100)["next"] == 1
+@pytest.mark.parametrize("number", [-3, -1, 0, 1, 4, 7])
+@pytest.mark.parametrize("size", [-1, 1, 31, 101])
+def test_pages_and_links(spark, number, size):
+    names = [f"f{i:03d}" for i in range(130)]
+    rows = feed_table(spark, [(n, None, None, 0) for n in names])
+    at, wide = max(number, 0), min(max(size, 1), 100)
+    got = [r["id"] for r in fd.page(rows, number, size).collect()]
+    assert got == names[at * wide : (at + 1) * wide]
+    links = fd.page_links(number, size, len(got))
+    assert (links["self"], links["first"]) == (at, 0)
+    assert links["prev"] == (at - 1 if at else None)
+    assert links["next"] == (at + 1 if len(got) == wide else None)
 
 
 def test_descriptions_leave_out_absent_values(spark):
@@ -334,3 +339,56 @@ def test_batch_limits(spark):
         1: (10_001, "too_large"), 2: (10_000, "ok"), 3: (2, "unprocessable"), 4: (2, "ok"),
     }
     assert {r["batch_id"] for r in va.accepted_items(items, verdicts).select("batch_id").distinct().collect()} == {2, 4}
+
+
+# Kept-up maxima, waking, clustered log --------------------------------------
+
+
+def test_maxima_kept_up_over_any_cut_equal_those_of_the_log(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), str(i), i, rng.randrange(1000)) for i in range(1, 60)]
+    log = log_table(spark, rows)
+    feeds = feed_table(spark, [("root", None, ["a", "c"], 7), ("child", "root", ["b"], 3), ("none", None, None, 0)])
+    whole = sorted(map(tuple, fd.registry(feeds, log).collect()), key=lambda r: r[0])
+    for bounds in ([0, 59], [0, 1, 30, 59], [0, 20, 20, 59]):
+        newest = fd.newest_per_type(log.limit(0))
+        for low, high in zip(bounds, bounds[1:]):
+            newest = fd.merge_newest(newest, log.filter(F.col("seq").between(low + 1, high)))
+        assert sorted(map(tuple, fd.registry_from(feeds, newest).collect()), key=lambda r: r[0]) == whole
+    empty = fd.registry_from(feeds, fd.newest_per_type(log.limit(0))).collect()
+    assert {(r["id"], r["parent_max_ack"], r["max_event_time"]) for r in empty} == {("root", 0, None), ("child", 7, None), ("none", 0, None)}
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1000])
+def test_progress_wakes_children_that_may_read_on(spark, hot_rows):
+    feeds = feed_table(
+        spark,
+        [("root", None, None, 9), ("near", "root", None, 2), ("far", "root", None, 8), ("other", "calm", None, 0), ("leaf", "near", None, 0)],
+    )
+    progress = spark.createDataFrame([("root", 6), ("root", 8), ("root", 8), ("leaf", 5), ("gone", 3)], "id string, max_ack bigint")
+    woken = fd.woken_children(feeds, progress, hot_rows)
+    assert [tuple(r) for r in woken.collect()] == [("near", "root", 8)]
+    assert fd.woken_children(feeds, progress.limit(0), hot_rows).count() == 0
+
+    log = log_table(spark, [("a", str(i), i, i) for i in range(1, 12)])
+    opened = pl.cursors(fd.registry(feeds.withColumn("max_ack", F.when(F.col("id") == "root", 4).otherwise(F.col("max_ack"))), log), F.lit(20))
+    raised = fd.wake(opened, woken)
+    assert [(r["feed"], r["seq"]) for r in pl.poll(raised, log).orderBy("seq").collect()] == [("near", s) for s in range(3, 9)]
+    later = opened.drop("parent_max_ack").withColumn("parent_max_ack", F.lit(8).cast("bigint")).select(*opened.columns)
+    assert fd.wake(later, woken).count() == 0
+
+
+def test_a_clustered_log_opens_only_the_folders_of_a_range(spark, tmp_path):
+    log = log_table(spark, [("ab"[i % 2], str(i), i * 7, i) for i in range(1, 2001)])
+    path = str(tmp_path / "log")
+    write_clustered(log.orderBy(F.rand(1)), path, 1000)
+    for low, high, kinds, size in [(0, 14000, None, 9), (6999, 7140, None, 500), (7000, 7000, None, 5), (2000, 3000, ["b"], 40), (-5, 7, [], 5)]:
+        want = scan_history(log, low, high, kinds, size).collect()
+        assert scan_clustered(spark, path, 1000, low, high, kinds, size).collect() == want
+    def opened(rows):
+        scan = rows._jdf.queryExecution().sparkPlan().collectLeaves().apply(0)
+        return scan.selectedPartitions().totalNumberOfFiles()
+
+    whole = len(spark.read.parquet(path).inputFiles())
+    assert whole >= 15 and opened(spark.read.parquet(path)) == whole
+    assert 1 <= opened(scan_clustered(spark, path, 1000, 7000, 7140, None, 500)) <= 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegraph.operators import closure as cl
 from tidegraph.operators.edges import apply_edge_diff, edge_diff, edges_of, incoming, incoming_documents
 from tidegraph.operators.hydrate import documents, hydrate_each, hydrate_many, list_document, lookup
-from tidegraph.operators.propagation import compact, propagate
+from tidegraph.operators.propagation import compact, expansion_per_claim, propagate, size_percentiles, size_sketches
 
 EDGE = "from_type string, from_id string, to_type string, to_id string"
 NODE = "type string, id string"
@@ -178,3 +178,40 @@ def test_propagation_orders_by_last_key_and_compaction_keeps_the_newest(spark):
     assert {r["id"]: r["seq"] for r in fresh.collect()} == {"2": 101, "3": 102, "0": 103, "1": 104}
     old = spark.createDataFrame([("n", "0", 7, at), ("n", "8", 8, at)], "type string, id string, seq bigint, event_time timestamp")
     assert {r["id"]: r["seq"] for r in compact(old, fresh).collect()} == {"2": 101, "3": 102, "0": 103, "1": 104, "8": 8}
+
+
+def test_claims_expand_on_their_own(spark):
+    rng = random.Random(8)
+    pairs = [(str(rng.randrange(40)), str(rng.randrange(40))) for _ in range(50)]
+    queued = [(k, "n", str(rng.randrange(45))) for k in range(300)]  # some in no edge, some several times, over 64 claims
+    got = {
+        r["claim"]: (r["claimed"], r["expanded"])
+        for r in expansion_per_claim(spark.createDataFrame(queued, "key bigint, type string, id string"), edge_table(spark, pairs), 4).collect()
+    }
+    want = {}
+    for c in range(75):
+        held = {i for _, _, i in queued[4 * c : 4 * c + 4]}
+        reached, todo = set(held), list(held)
+        while todo:
+            at = todo.pop()
+            fresh = {a for a, b in pairs if b == at} - reached
+            reached |= fresh
+            todo += fresh
+        want[c] = (len(held), len(reached))
+    assert got == want
+
+
+def test_merged_sketches_give_percentiles_within_their_error(spark):
+    rng = random.Random(9)
+    sizes = [int(rng.lognormvariate(5, 2)) for _ in range(20_000)]
+    runs = spark.createDataFrame([(n % 10, s) for n, s in enumerate(sizes)], "day int, expanded bigint")
+    shares = [0.0, 0.5, 0.9, 0.99, 1.0]
+    got = {r["share"]: r["value"] for r in size_percentiles(size_sketches(runs, "expanded", "day"), shares).collect()}
+    ordered = sorted(sizes)
+    for share in shares:
+        low, high = (ordered[min(max(int((share + e) * len(sizes)), 0), len(sizes) - 1)] for e in (-0.025, 0.025))
+        assert low <= got[share] <= high
+    assert (got[0.0], got[1.0]) == (ordered[0], ordered[-1])
+    few = runs.limit(5)
+    assert {r["value"] for r in size_percentiles(size_sketches(few, "expanded", "day"), [0.5]).collect()} == {sorted(sizes[:5])[2]}
+    assert size_percentiles(size_sketches(runs.limit(0), "expanded", "day"), shares).count() == 0

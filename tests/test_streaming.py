@@ -24,6 +24,7 @@ from tidegraph.streaming.delivery import (
     hydrated,
     process_requests,
     start_requests,
+    start_waking,
 )
 from tidegraph.streaming.propagation import process_writes, start_propagation
 from tidegraph.streaming.snapshots import SnapshotStore
@@ -211,6 +212,11 @@ def test_feeds_are_served_acknowledged_and_resumed(spark, stored, tmp_path):
     ]
     assert rows_of(registered.output("ack_progress"), "id", "max_ack") == [("root", seqs[1])]
 
+    for _ in range(2):  # the second run finds no new progress
+        start_waking(spark, root, str(tmp_path / "wake"), 4).awaitTermination()
+    woken = {tuple(r) for r in registered.output("woken").select("id", "parent_id", "bound").collect()}
+    assert woken == {(f, "root", seqs[1]) for f in ("child", "late")}
+
     events, _ = deliver(log, registered, 3)
     got = {(r["feed"], r["data"]["seq"]) for r in events.collect()}
     assert got == {("root", s) for s in seqs[2:5]} | {(f, s) for f in ("child", "late") for s in seqs[:2]}
@@ -222,7 +228,7 @@ def test_feeds_are_served_acknowledged_and_resumed(spark, stored, tmp_path):
     process_requests(gone, 1, root, log.root, 4)
     events, _ = deliver(log, registered, 3, cursors)
     errors = [(r["feed"], r["message"]) for r in events.collect() if r["eventType"] == "error"]
-    assert errors == [("child", "Changefeed was deleted")]
+    assert errors == [("child", "the feed is gone")]
 
 
 def test_hydrated_delivery(spark, stored):

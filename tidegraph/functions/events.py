@@ -45,7 +45,7 @@ def error_events(rows: DataFrame, message: Column, keep: list[str] | None = None
 def deleted_feed_errors(cursor_rows: DataFrame, feeds: DataFrame) -> DataFrame:
     """An error event for each cursor whose feed is gone: `(id, eventType, data, message)`."""
     gone = cursor_rows.select("id").distinct().join(feeds.select("id"), "id", "left_anti")
-    return error_events(gone, F.lit("Changefeed was deleted"), ["id"])
+    return error_events(gone, F.lit("the feed is gone"), ["id"])
 
 
 def event_line(event_type: Column, data: Column, message: Column) -> Column:

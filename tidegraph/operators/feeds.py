@@ -24,18 +24,38 @@ def registry(feeds: DataFrame, history: DataFrame) -> DataFrame:
     log maximum, 0 on an empty log.  `max_event_time` is that of the newest row
     whose type is in the filter, NULL without a filter.
     """
+    return registry_from(feeds, newest_per_type(history))
+
+
+def newest_per_type(history: DataFrame) -> DataFrame:
+    """The newest row of each type: `(type, seq, at)`."""
+    return history.groupBy("type").agg(F.max("seq").alias("seq"), F.max_by("event_time", "seq").alias("at"))
+
+
+def merge_newest(newest: DataFrame, fresh: DataFrame) -> DataFrame:
+    """`newest_per_type` kept up with log rows that came since.
+
+    Numbers only grow and compaction drops only rows that a newer one of the same type replaces, so the
+    maxima of the parts are those of the whole log; only the new rows are read.
+    """
+    both = newest.unionByName(newest_per_type(fresh))
+    return both.groupBy("type").agg(F.max("seq").alias("seq"), F.max_by("at", "seq").alias("at"))
+
+
+def parent_bounds(feeds: DataFrame, top: Column) -> DataFrame:
+    """Feeds with `parent_max_ack`; `top` is the log maximum, NULL for an empty log."""
     parents = feeds.select(F.col("id").alias("parent_id"), F.col("max_ack").alias("_parent_ack"))
-    newest = history.groupBy("type").agg(F.max("seq").alias("seq"), F.max_by("event_time", "seq").alias("at"))
+    return feeds.join(parents, "parent_id", "left").select(
+        *feeds.columns, F.coalesce("_parent_ack", top, F.lit(0)).alias("parent_max_ack")
+    )
+
+
+def registry_from(feeds: DataFrame, newest: DataFrame) -> DataFrame:
+    """`registry` from the newest row of each type instead of the log."""
     filtered = feeds.select("id", F.explode("type_filter").alias("type"))
     event_times = filtered.join(newest, "type").groupBy("id").agg(F.max_by("at", "seq").alias("max_event_time"))
-    top = history.agg(F.max("seq")).scalar()
-    return (
-        feeds.join(parents, "parent_id", "left")
-        .join(event_times, "id", "left")
-        .select(
-            *feeds.columns, F.coalesce("_parent_ack", top, F.lit(0)).alias("parent_max_ack"), "max_event_time"
-        )
-    )
+    bounded = parent_bounds(feeds, newest.agg(F.max("seq")).scalar())
+    return bounded.join(event_times, "id", "left").select(*bounded.columns, "max_event_time")
 
 
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
@@ -225,3 +245,25 @@ def ack_progress(before: DataFrame, after: DataFrame) -> DataFrame:
     """Feeds whose position really moved: `(id, max_ack)`.  These wake their children."""
     old = before.select("id", F.col("max_ack").alias("_old"))
     return after.join(old, "id").filter(F.col("max_ack") > F.col("_old")).select("id", "max_ack")
+
+
+def woken_children(feeds: DataFrame, progress: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Feeds that may read on because their parent's position moved: `(id, parent_id, bound)`.
+
+    `progress` is rows of `ack_progress`, of one batch or of several in any order, repeated or not; the furthest
+    position of a parent counts.  A child that has itself acknowledged that far sleeps on.  One parent may have most of the feeds.
+    """
+    moved = progress.groupBy(F.col("id").alias("parent_id")).agg(F.max("max_ack").alias("bound"))
+    children = feeds.filter("parent_id IS NOT NULL").select("id", "parent_id", "max_ack")
+    woken = join_unique(children, moved, ["parent_id"], hot_rows).filter("bound > max_ack")
+    return woken.select("id", "parent_id", "bound")
+
+
+def wake(open_cursors: DataFrame, woken: DataFrame) -> DataFrame:
+    """The open cursors whose bound moves, raised to it: all that a poll after an ack needs to look at.
+
+    A cursor that was raised as far before is left out, so rows of progress that come again wake nobody.
+    """
+    raised = open_cursors.join(woken.groupBy("id").agg(F.max("bound").alias("_bound")), "id")
+    moved = raised.filter(F.col("_bound") > F.col("parent_max_ack"))
+    return moved.withColumn("parent_max_ack", F.col("_bound")).select(*open_cursors.columns)

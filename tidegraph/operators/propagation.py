@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.closure import Adjacency, TableLinks, adjacency, against_edges, spread
+from tidegraph.operators.closure import Adjacency, TableLinks, adjacency, against_edges, closure_each, spread
 from tidegraph.operators.ordering import with_sequence
 from tidegraph.schema import NODE
 
@@ -52,3 +52,47 @@ def compact(history: DataFrame, fresh: DataFrame) -> DataFrame:
 def expansion_counts(reached: DataFrame) -> DataFrame:
     """How many resources each queue key was the last to reach: `(key, expanded)`."""
     return reached.groupBy("key").agg(F.count(F.lit(1)).alias("expanded"))
+
+
+CLAIM = "claim"
+
+
+def expansion_per_claim(changes: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """What each claim of the `size` oldest queued changes would expand to: `(claim, claimed, expanded)`.
+
+    Claims are numbered from 0 in the order of keys.  `claimed` counts the distinct resources of a claim and
+    `expanded` all that they reach, themselves included, also what another claim reaches too.  All
+    claims are searched at once: each is a root of its own that points at its resources, 64 of them to a word of bits.
+    """
+    numbered = with_sequence(changes.select("key", *NODE), ["key", *NODE], "_number")
+    held = numbered.select(F.floor((F.col("_number") - 1) / size).alias("claim"), *NODE).distinct()
+    root = F.col("claim").cast("string")
+    down = held.select(
+        F.lit(CLAIM).alias("src_type"), root.alias("src_id"), F.col("type").alias("dst_type"), F.col("id").alias("dst_id")
+    )
+    # Resources get a prefix, so that none can be taken for a claim.
+    up = against_edges(edges)
+    apart = lambda links, side: links.withColumn(f"{side}_type", F.concat(F.lit("/"), f"{side}_type"))
+    links = apart(apart(up, "src"), "dst").unionByName(apart(down, "dst"))
+    roots = held.select(F.lit(CLAIM).alias("type"), root.alias("id")).distinct()
+    reached = closure_each(links, roots).groupBy(F.col("root_id").cast("bigint").alias("claim"))
+    claimed = held.groupBy("claim").agg(F.count(F.lit(1)).alias("claimed"))
+    return claimed.join(reached.agg(F.count(F.lit(1)).alias("expanded")), "claim")
+
+
+def size_sketches(runs: DataFrame, value: str, *by: str) -> DataFrame:
+    """A quantile sketch of `value` per group: `(*by, sketch)`, a few kilobytes each however many runs it stands for."""
+    return runs.groupBy(*by).agg(F.kll_sketch_agg_bigint(value).alias("sketch"))
+
+
+def size_percentiles(sketches: DataFrame, shares: list[float]) -> DataFrame:
+    """Percentiles of all that the sketches stand for: `(share, value)`; no rows without sketches.
+
+    Sketches are merged, so those of earlier batches are kept and only new runs are sketched.  Up to about 200 runs the values
+    are exact, beyond that within about 1.7 % of the rank.
+    """
+    merged = sketches.filter("sketch IS NOT NULL").agg(F.kll_merge_agg_bigint("sketch").alias("sketch"), F.count(F.lit(1)).alias("_n"))
+    asked = [
+        F.struct(F.lit(float(s)).alias("share"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(s))).alias("value")) for s in shares
+    ]
+    return merged.filter("_n > 0").select(F.inline(F.array(*asked)))

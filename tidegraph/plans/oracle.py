@@ -188,6 +188,30 @@ after_acks AS (
   FROM feeds f LEFT JOIN best b ON b.id = f.id
 )"""
 
+PARENT_ACKS = """
+acks AS (
+  SELECT event_id AS ord, CASE WHEN event_type = 'purchase' THEN 'region-' || (user_id % 5) ELSE 'nation-' || (user_id % 25) END AS id,
+         CAST(props->>'k' AS BIGINT) * 100 AS ack
+  FROM events
+),
+region_acks AS (
+  SELECT a.id, a.ord, a.ack FROM acks a JOIN registry r ON r.id = a.id AND a.ack <= r.parent_max_ack WHERE a.id LIKE 'region-%'
+),
+nation_steps AS (
+  SELECT a.id, a.ord, a.ack, max(greatest(coalesce(s.ack, 0), r.parent_max_ack)) AS bound
+  FROM acks a JOIN registry r ON r.id = a.id LEFT JOIN region_acks s ON s.id = r.parent_id AND s.ord < a.ord
+  WHERE a.id LIKE 'nation-%' GROUP BY a.id, a.ord, a.ack
+),
+furthest AS (
+  SELECT id, max(ack) AS ack FROM (SELECT id, ack FROM region_acks UNION ALL SELECT id, ack FROM nation_steps WHERE ack <= bound) GROUP BY id
+),
+moved AS (SELECT f.id, a.ack AS bound FROM feeds f JOIN furthest a ON a.id = f.id WHERE a.ack > f.max_ack),
+woken AS (
+  SELECT f.id, f.parent_id, m.bound
+  FROM feeds f JOIN moved m ON m.id = f.parent_id LEFT JOIN furthest a ON a.id = f.id
+  WHERE m.bound > greatest(f.max_ack, a.ack)
+)"""
+
 CREATES = """
 requests AS (
   SELECT s_suppkey AS ord, CASE WHEN s_acctbal < 0 THEN 'nation-' ELSE 'site-' END || s_nationkey AS id,
@@ -481,6 +505,27 @@ def oracle_queries() -> dict[str, str]:
                FROM (SELECT *, row_number() OVER (ORDER BY event_time, type, id) AS seq FROM updates) GROUP BY type, id""",
         ),
         "high_water_mark": _with(HISTORY, "SELECT coalesce(max(seq), 0) AS max_seq FROM history"),
+        "expanded_per_claim": _with(
+            EDGES,
+            CHANGES,
+            """numbered AS (SELECT type, id, (row_number() OVER (ORDER BY key, type, id) - 1) // 1000 AS claim FROM changes),
+claimed AS (SELECT claim, count(*) AS claimed FROM (SELECT DISTINCT claim, type, id FROM numbered) GROUP BY claim),
+reached_each AS (
+  SELECT claim, type, id FROM numbered
+  UNION
+  SELECT r.claim, e.from_type, e.from_id FROM edges e JOIN reached_each r ON e.to_type = r.type AND e.to_id = r.id
+)""",
+            "SELECT claim, any_value(claimed) AS claimed, count(*) AS expanded FROM reached_each JOIN claimed USING (claim) GROUP BY claim",
+        ),
+        "batch_size_extremes": """
+SELECT share, quantile_size AS value FROM (
+  SELECT 0.0::DOUBLE AS share, min(n) AS quantile_size FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)
+  UNION ALL SELECT 1.0::DOUBLE, max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey))""",
+        "history_scan_clustered": _with(
+            HISTORY,
+            """SELECT type, id, seq, epoch_us(event_time) AS event_us FROM history, (SELECT max(seq) AS top FROM history)
+WHERE seq > top // 2 AND seq <= top // 2 + top // 100""",
+        ),
         "history_scan_all": _scan("true"),
         "history_scan_one_type": _scan("type = 'order'"),
         "history_scan_types": _scan("type IN ('customer', 'part', 'Order')"),
@@ -520,6 +565,18 @@ def oracle_queries() -> dict[str, str]:
         "ack_progress": _with(
             HISTORY, FEEDS, ACKS, "SELECT id, max_ack FROM after_acks WHERE max_ack > old_ack"
         ),
+        "children_woken": _with(HISTORY, FEEDS, PARENT_ACKS, "SELECT id, parent_id, bound FROM woken"),
+        "woken_poll": _with(
+            HISTORY,
+            FEEDS,
+            PARENT_ACKS,
+            """SELECT r.id AS feed, h.type, h.id, h.seq
+               FROM registry r JOIN woken w ON w.id = r.id AND w.bound > greatest(r.parent_max_ack, r.max_ack)
+               JOIN history h ON h.seq > r.max_ack AND h.seq <= w.bound
+               WHERE r.type_filter IS NULL OR list_contains(r.type_filter, h.type)
+               QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY h.seq) <= 10""",
+        ),
+        "feed_registry_maintained": _with(HISTORY, FEEDS, f"SELECT {registry_row} FROM registry"),
         "feed_poll": _with(HISTORY, FEEDS, POLL, "SELECT feed, type, id, seq FROM delivered"),
         "feed_second_poll": _with(
             HISTORY,

@@ -19,10 +19,18 @@ from tidegraph.operators import validate as va
 from tidegraph.operators import writes as wr
 from tidegraph.operators.closure import adjacency, against_edges, max_relevant_seq, reverse_closure
 from tidegraph.operators.edges import edge_diff, edges_of, incoming, incoming_documents as incoming_rows
-from tidegraph.operators.history import latest_per_key, scan_history
+from tidegraph.operators.history import latest_per_key, scan_clustered, scan_history, write_clustered
 from tidegraph.operators.hydrate import documents, hydrate_each, hydrate_many, list_document, lookup
 from tidegraph.operators.ordering import with_sequence
-from tidegraph.operators.propagation import compact, expansion_counts, propagate, reached_by
+from tidegraph.operators.propagation import (
+    compact,
+    expansion_counts,
+    expansion_per_claim,
+    propagate,
+    reached_by,
+    size_percentiles,
+    size_sketches,
+)
 from tidegraph.operators.timing import debounce, heartbeats
 from tidegraph.sources import retail, samples
 from tidegraph.sources.documents import explode_batches, normalise, read_writes
@@ -341,6 +349,19 @@ def expanded_per_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expansion_counts(reached_by(samples.queued_changes(spark, sf_dir), links))
 
 
+@query
+def expanded_per_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expansion_per_claim(samples.queued_changes(spark, sf_dir), retail.edges(spark, sf_dir), 1000)
+
+
+@query
+def batch_size_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and largest batch of line items, which quantile sketches keep exactly, merged from 64 sketches."""
+    sizes = samples.order_batches(spark, sf_dir).groupBy("batch_id").agg(F.count(F.lit(1)).alias("size"))
+    runs = sizes.select("size", F.pmod("batch_id", F.lit(64)).alias("part"))
+    return size_percentiles(size_sketches(runs, "size", "part"), [0.0, 1.0])
+
+
 @query
 def latest_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every update numbered, then only the newest row of each resource kept."""
@@ -379,6 +400,17 @@ def history_scan_empty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir, [])
 
 
+@query
+def history_scan_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundredth of the log, from a copy that is laid out by number."""
+    log = samples.history(spark, sf_dir)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    width, path = max(1, top // 200), f"{shared_folder(spark)}/clustered-{uuid.uuid4()}"
+    write_clustered(log, path, width)
+    rows = scan_clustered(spark, path, width, top // 2, top // 2 + top // 100, None, top // 100)
+    return rows.select("type", "id", "seq", micros(F.col("event_time")).alias("event_us"))
+
+
 # Feeds ----------------------------------------------------------------------
 
 
@@ -452,6 +484,40 @@ def ack_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.ack_progress(feeds, fd.apply_acks(feeds, checked))
 
 
+def _parent_progress(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    feeds = retail.changefeeds(spark, sf_dir)
+    checked = fd.check_acks(_registry(spark, sf_dir), samples.parent_acks(spark, sf_dir))
+    after = cut(fd.apply_acks(feeds, checked))
+    return feeds, after, fd.ack_progress(feeds, after)
+
+
+@query
+def children_woken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, after, progress = _parent_progress(spark, sf_dir)
+    return fd.woken_children(after, progress)
+
+
+@query
+def woken_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open cursors of all feeds, of which only those with a parent that moved are polled."""
+    before, after, progress = _parent_progress(spark, sf_dir)
+    log = samples.history(spark, sf_dir)
+    opened = pl.cursors(fd.registry(before, log), F.lit(10))
+    woken = cut(fd.wake(opened, fd.woken_children(after, progress)))
+    return pl.poll(woken, log).select("feed", "type", "id", "seq")
+
+
+@query
+def feed_registry_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry from maxima that were kept up over three stretches of the log."""
+    log = samples.history(spark, sf_dir)
+    third = (log.agg(F.max("seq")).first()[0] or 0) // 3
+    newest = fd.newest_per_type(log.filter(F.col("seq") <= third))
+    newest = fd.merge_newest(newest, log.filter((F.col("seq") > third) & (F.col("seq") <= 2 * third)))
+    newest = cut(fd.merge_newest(newest, log.filter(F.col("seq") > 2 * third)))
+    return _registry_columns(fd.registry_from(retail.changefeeds(spark, sf_dir), newest))
+
+
 def _cursors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     log = samples.history(spark, sf_dir)
     registered = fd.registry(retail.changefeeds(spark, sf_dir), log)

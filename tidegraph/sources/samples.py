@@ -40,6 +40,19 @@ def feed_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parent_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an ack of a feed with children: purchases of a region's, other events of a nation's."""
+    bought = F.col("event_type") == "purchase"
+    region = F.concat(F.lit("region-"), (F.col("user_id") % 5).cast("string"))
+    nation = F.concat(F.lit("nation-"), (F.col("user_id") % 25).cast("string"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("ord"),
+        F.when(bought, region).otherwise(nation).alias("id"),
+        (event_k().cast("bigint") * 100).alias("ack"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
 def create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers asking for a feed of their nation: some repeat, some exist, some name no known parent."""
     return table(spark, sf_dir, "supplier").select(

@@ -19,7 +19,9 @@ from tidegraph.operators.feeds import (
     check_deletes,
     create_feeds,
     delete_feeds,
+    parent_bounds,
     registry,
+    woken_children,
 )
 from tidegraph.operators.hydrate import hydrate_each
 from tidegraph.operators.polling import advance, cursors, poll
@@ -70,7 +72,7 @@ def process_requests(
 
     created = cut(check_creates(before, requests.filter("kind = 'create'")))
     feeds = cut(create_feeds(before, created))
-    acked = cut(check_acks(registry(feeds, log.read("history")), requests.filter("kind = 'ack'")))
+    acked = cut(check_acks(parent_bounds(feeds, F.lit(log.max_seq())), requests.filter("kind = 'ack'")))
     moved = cut(apply_acks(feeds, acked))
     deleted = cut(check_deletes(moved, requests.filter("kind = 'delete'")))
     after = delete_feeds(moved, deleted)
@@ -99,6 +101,26 @@ def start_requests(
     )
 
 
+def process_progress(progress: DataFrame, batch_id: int, feeds_root: str, buckets: int = 64) -> None:
+    """One micro-batch of `ack_progress` rows: the children that they wake go to the output `woken`, `(id, parent_id, bound)`.
+
+    A replay replaces its own rows.  Of the registry only ids, parents and positions are read, and no log.
+    """
+    store = SnapshotStore(progress.sparkSession, feeds_root, buckets)
+    store.append("woken", woken_children(store.read("changefeeds"), progress), batch_id)
+
+
+def start_waking(spark: SparkSession, feeds_root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Follow the progress of acks, which `process_requests` appends, and wake children by it."""
+    progress = spark.readStream.schema("id string, max_ack bigint").parquet(f"{feeds_root}/ack_progress/*")
+    return (
+        progress.writeStream.foreachBatch(lambda batch, batch_id: process_progress(batch, batch_id, feeds_root, buckets))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def deliver(
     log: SnapshotStore, registered: SnapshotStore, buffer: int, open_cursors: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:

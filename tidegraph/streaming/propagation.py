@@ -24,7 +24,8 @@ def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64,
     Only the buckets that hold written, referenced or reached keys are read and
     rewritten, so the cost follows the batch and what it affects, not the store.
     Edges are updated before propagation, as a resource's own new references
-    decide what reaches it.
+    decide what reaches it.  The output `runs` tells of each batch how many changes it claimed and
+    how many resources they expanded to; `size_sketches` sums such rows up.
     """
     store = SnapshotStore(raw.sparkSession, root, buckets)
     if store.done(writer, batch_id):
@@ -58,6 +59,8 @@ def process_writes(raw: DataFrame, batch_id: int, root: str, buckets: int = 64,
     log = compact(store.read("history", reached, versions), fresh)
     staged["history"] = store.stage("history", log, reached, version, ["seq"])
 
+    run = raw.sparkSession.createDataFrame([(changes.count(), fresh.count())], "claimed bigint, expanded bigint")
+    store.append("runs", run, version)
     top = fresh.agg(F.max("seq")).first()[0] or store.max_seq()
     store.publish(version, staged, top, {writer: batch_id})
 
