@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ SCALE = 10**9
 TOP_TERMS = 50
 BLOCK_BYTES = 1 << 27
 TERM_BYTES = 100
-HELD_TERMS = 400_000
+HELD_TERMS = 150_000
+SENT_ROWS = 1 << 14
 HELD_ENTRIES = 1 << 21
 SOURCE_BLOCK = 64
 TERM_BUCKET = 2_048
@@ -54,8 +56,9 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
 
     def emit(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
-            columns = {"term": pa.array(list(counts), pa.binary()), "df": pa.array(list(counts.values()), pa.int64())}
-            yield pa.record_batch({"lang": pa.array([lang] * len(counts), pa.string()), **columns})
+            for some in batched(counts.items(), SENT_ROWS):
+                columns = {"term": pa.array([t for t, _ in some], pa.binary()), "df": pa.array([n for _, n in some], pa.int64())}
+                yield pa.record_batch({"lang": pa.array([lang] * len(some), pa.string()), **columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
