@@ -1,8 +1,11 @@
+import math
 import random
 
+import pyarrow.parquet as pq
 import pytest
+import sentencepiece
 
-from tidegraph.llm.sentencepieces import Encoder, Vocabulary, decode, default_model, edited, encode
+from tidegraph.llm.sentencepieces import Encoder, Vocabulary, decode, default_model, edited, encode, log_probabilities
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +50,24 @@ def test_a_star_and_batched_solver_agree_with_the_plain_one(vocabulary):
         assert (ways[1][0] == score - gap) if len(ways) > 1 else gap == float("inf")
 
 
+def test_scores_are_log_probabilities(vocabulary):
+    total = sum(math.exp(vocabulary.scores[i]) for i in vocabulary.ids.values())
+    assert abs(total - 1) < 1e-3
+    assert log_probabilities([0.0, -1.0, -7.0], [True, True, False])[2] == -7.0
+    ranked = log_probabilities([0.0, -1.0, -2.0], [True] * 3)
+    assert ranked == sorted(ranked, reverse=True) and abs(sum(map(math.exp, ranked)) - 1) < 1e-5
+    assert log_probabilities([-1.5, -2.25], [True] * 2) == [-1.5, -2.25]
+
+
+def test_pieces_per_text_are_near_those_of_the_library(vocabulary):
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts = [t for t in rows if t]
+    ids, _, ranked = Encoder(vocabulary, 4).encode(texts)
+    assert len(ids) <= 1.02 * sum(map(len, library.encode(texts)))
+    assert all([s for s, _ in r] == sorted((s for s, _ in r), reverse=True) for r in ranked)
+
+
 def test_round_trip_and_edge_cases(spark, vocabulary):
     texts = [None, "", " ", "  two  spaces ", "tab\tand\nline\r\n", "日本語 🙂 é", "word " * 30_000, "same", "same"]
     rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, ids string")

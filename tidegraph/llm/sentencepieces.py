@@ -9,6 +9,11 @@ lattices touch at single places only.  Its best segmentation joins those of the
 differ from it in the N - 1 segments that lose least at most: only there the A-star search runs, and the sums are merged.
 Every distinct segment is solved once per worker, within a bounded cache.
 
+A path score is the sum of its pieces' log-probabilities.  A unigram model's file holds them.  A BPE model's file holds ranks of
+merges, all of them whole numbers, which mean nothing when added; there the piece of rank r gets the Zipf-Mandelbrot estimate
+log(1 / (r + 2.7)) less the log of the sum over all pieces.  That is not the merging of a BPE encoder: the library's
+encoding of such a model is one path of the lattice, and over a whole text seldom the very best one.  Scores are rounded to multiples of 2^-20, so sums are exact.
+
 Spaces become U+2581 with one in front; a character without a piece falls back to
 the pieces of its UTF-8 bytes, at the least piece score less 10 per character.  Of equal scores,
 the one with the longer last piece comes first, and in a text the one that deviates earlier.
@@ -40,6 +45,8 @@ CACHED_CHARS = 12_000_000
 SHORT = 64
 SOLVED_CHARS = 60_000
 UNKNOWN_PENALTY = 10.0
+ZIPF_SHIFT = 2.7
+SCORE_STEP = 2.0**-20
 _NEVER = float("-inf")
 _STOP = object()
 
@@ -54,6 +61,15 @@ def _hashable(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sums, ends - np.array([len(p) for p in parts], np.int64), ends
 
 
+def log_probabilities(scores: list[float], usable: list[bool]) -> list[float]:
+    """Scores that may be added: those of a unigram model, or estimates from the ranks that a BPE model has instead."""
+    given, used = np.array(scores, float), np.array(usable, bool)
+    if used.any() and (given[used] == np.floor(given[used])).all() and given[used].max() <= 0:
+        share = 1.0 / (ZIPF_SHIFT - given[used])
+        given[used] = np.log(share / share.sum())
+    return (np.round(given / SCORE_STEP) * SCORE_STEP).tolist()
+
+
 def default_model() -> str:
     """The place of the installed 32,000-piece vocabulary."""
     import public_tokenizers
@@ -81,7 +97,7 @@ class Vocabulary:
         if not all(model.is_byte(i) for i in byte_ids):
             raise ValueError("the vocabulary needs a piece for every byte")
         usable = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in ids]
-        return cls(pieces, [model.get_score(i) for i in ids], usable, byte_ids)
+        return cls(pieces, log_probabilities([model.get_score(i) for i in ids], usable), usable, byte_ids)
 
     @cached_property
     def ids(self) -> dict[str, int]:
@@ -312,7 +328,6 @@ class Encoder(dict):
 
     def _ranked(self, found: np.ndarray, places: np.ndarray, score: float) -> list[tuple[float, str]]:
         """The N best of a text, each as its score and what it puts in place of parts of the best."""
-        score = float(np.round(score)) if abs(score - np.round(score)) < 1e-6 else score
         gaps, least = self.gaps[found], self.n - 1
         if least < 1 or not len(gaps):
             return [(score, "")]
