@@ -256,15 +256,17 @@ class Lexicon:
 def evidence(text: str, lexicon: Lexicon) -> np.ndarray | None:
     """Log of 1 + the summed weight of matched clauses per mark, log of the number of matches, number of clauses; None without one."""
     text = text.lower()
-    symbols = {w: lexicon.symbol(w) for w in set(_WORD.findall(text))}
-    telling = {w for w, x in symbols.items() if x.insult > 0 or x.threat > 0}
+    words, insults, threats = set(_WORD.findall(text)), lexicon.insults, lexicon.threats
+    telling = {w for w in words if threats.get(w) or insult_weight(w, insults) is not None}
     if not telling:
         return None
+    symbols: dict[str, Symbol] = {}
     sums, matches, clauses = np.zeros(len(MARKS)), 0, 0
     for clause in _CLAUSE_END.split(text):
         words = _WORD.findall(clause)
         if telling.isdisjoint(words):
             continue
+        symbols |= {w: lexicon.symbol(w) for w in set(words) - symbols.keys()}
         weight, found = best_path(lexicon.machine, [symbols[w] for w in words])
         if found and weight > 0:
             for match in found:
