@@ -11,7 +11,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,10 +42,17 @@ def settled(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`df` settled, and how many rows it has."""
+    seen = Observation()
+    held = settled(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return held, seen.get["rows"]
+
+
 @contextmanager
 def fixed_partitioning(spark: SparkSession, partitions: int):
     """Plan with a fixed number of hash partitions.

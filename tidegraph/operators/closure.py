@@ -11,15 +11,16 @@ only shuffle is that of the messages, which are combined on the map side first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import nullcontext
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidegraph.lineage import cut, fixed_partitioning, settled
+from tidegraph.lineage import counted, cut, fixed_partitioning, settled
 from tidegraph.schema import NODE
-from tidegraph.skew import HOT_ROWS, key_load, partitions_for
+from tidegraph.skew import HOT_ROWS, MAX_HOT_KEYS, key_load, partitions_for
 
 SRC = ["src_type", "src_id"]
 DST = ["dst_type", "dst_id"]
@@ -185,39 +186,98 @@ def _bits(mask: Column) -> Column:
     return F.when(F.bit_count(mask) == 1, F.array(single)).otherwise(several)
 
 
-def closure_each(links: DataFrame, roots: DataFrame) -> DataFrame:
+TYPES = 1_000  # up to so many types, links are read type by type
+
+
+def _types(df: DataFrame) -> list[str] | None:
+    """The types in `df`, None if there are more than `TYPES`."""
+    rows = df.filter("type IS NOT NULL").select("type").distinct().limit(TYPES + 1).collect()
+    return None if len(rows) > TYPES else sorted(row[0] for row in rows)
+
+
+def _of_types(df: DataFrame, types: list[str] | None) -> DataFrame:
+    return df if types is None else df.filter(F.col("type").isin(types))
+
+
+@dataclass
+class _Inner:
+    """Links out of what was reached: those of a type are filtered and stored when a node of it is first reached."""
+
+    links: DataFrame
+    entered: Callable[[DataFrame], DataFrame]
+    held: DataFrame | None = None
+    loaded: set[str] | None = field(default_factory=set)
+    sources: list[str] | None = field(default_factory=list)
+
+    def out_of(self, types: list[str] | None) -> DataFrame | None:
+        """Stored links, with those of `types`; None if there are none."""
+        if self.loaded is not None and (types is None or set(types) - self.loaded):
+            more = None if types is None else sorted(set(types) - self.loaded)
+            stored = settled(self.entered(_of_types(self.links, more)))
+            self.held = stored if self.held is None or more is None else self.held.unionByName(stored)
+            self.loaded = None if more is None else self.loaded | set(more)
+            new = _types(stored)
+            self.sources = None if new is None or self.sources is None else sorted({*self.sources, *new})
+        return self.held if self.sources is None or self.sources else None
+
+
+def closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Per root, the nodes reachable in one hop or more: `(root_type, root_id, type, id)`.
 
-    A multi-source search by bitmaps: roots are numbered, 64 to a word, and a word travels with one mask per node
+    `nodes`, if set, restricts which nodes may be entered.  The first hop, which mostly leads to nodes that few roots
+    share, is a table of root and node: links meet the roots once and repeated ones go in place.  From there it is a
+    multi-source search by bitmaps: roots are numbered, 64 to a word, and a word travels with one mask per node
     instead of one row per root.  Masks that meet are merged by `bit_or`, and a round sends on only bits that are new to
-    a node.  Each round's new bits are a table of their own; what arrives is compared with the rows of the
-    same word and node only, which is a broadcast of the arrivals where they are few.  Rows of root and node come into being at the
-    end.  The answer has one of them per root and node, so use `closure` where one shared set will do.
+    a node.  Only links of types that were reached are laid out for that.  Each round's new bits are a table of their own; what
+    arrives is compared with the rows of the same nodes only, found by a broadcast of these where they are few.
+    Rows of root and node come into being at the end.  The answer has one of them per root and node, so use `closure`
+    where one shared set will do.
     """
-    key = ["word", *NODE]
-    links = settled(links.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), *DST))
-    heads = settled(roots.select(*NODE).distinct().withColumn("_at", F.monotonically_increasing_id()))
-    place = (F.col("_at") % WORD).cast("int")
-    frontier = heads.select(
-        F.floor(F.col("_at") / WORD).alias("word"), *NODE, F.call_function("shiftleft", F.lit(1).cast("bigint"), place).alias("mask")
-    )
-    found: DataFrame | None = None
+    links = links.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), *DST)
+    allowed = None if nodes is None else nodes.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"))
+    entered = lambda hops: hops if allowed is None else hops.join(allowed, DST, "left_semi")
+    heads, n_heads = counted(roots.select(*NODE).distinct().withColumn("_at", F.monotonically_increasing_id()))
+    few = n_heads <= MAX_HOT_KEYS
+    out = _of_types(links, _types(heads))
+    # Few roots pick their links first; of many, links are filtered first, as they are narrower than what they lead to.
+    hops = entered(out.join(F.broadcast(heads), NODE).distinct()) if few else entered(out).join(heads, NODE).distinct()
+    root = [F.col("type").alias("root_type"), F.col("id").alias("root_id")]
+    near = settled(hops.select(*root, "_at", F.col("dst_type").alias("type"), F.col("dst_id").alias("id")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_at") % WORD).cast("int"))
+    word = F.floor(F.col("_at") / WORD).alias("word")
+    frontier = near.select(word, *NODE, bit.alias("mask"))
+    found, far = frontier, None
+    inner = _Inner(links, entered)
     while True:
-        arrived = frontier.join(links, NODE).groupBy("word", F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
-        arrived = arrived.agg(F.bit_or("mask").alias("mask"))
-        if found is not None:
-            arrived = settled(arrived)
-            known = found.join(arrived.select(*key), key).groupBy(*key).agg(F.bit_or("mask").alias("_known"))
-            new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("bigint"))))
-            arrived = arrived.join(known, key, "left").select(*key, new.alias("mask")).filter("mask <> 0")
-        growth = Observation()
-        frontier = settled(arrived.observe(growth, F.count(F.lit(1)).alias("rows")))
-        if found is not None and growth.get["rows"] == 0:
+        ahead = inner.out_of(_types(frontier))
+        if ahead is None:
             break
-        found = frontier if found is None else found.unionByName(frontier)
-        if growth.get["rows"] == 0:
+        fresh = _new_bits(found, _of_types(frontier, inner.sources), ahead)
+        frontier, size = counted(fresh)
+        if not size:
             break
-    named = heads.select(F.col("type").alias("root_type"), F.col("id").alias("root_id"), "_at")
+        found = found.unionByName(frontier)
+        far = frontier if far is None else far.unionByName(frontier)
+    pairs = near.select("root_type", "root_id", *NODE)
+    if far is None:
+        return pairs
+    # The names of a word's roots, by place: at most 64.
+    named = heads.withColumn("word", word).groupBy("word")
+    named = named.agg(F.sort_array(F.collect_list(F.struct("_at", *root))).alias("_names"))
     # A node's bits are spread over the rounds in which they arrived, each bit in one of them.
-    pairs = found.select(*NODE, (F.col("word") * WORD).alias("_base"), F.explode(_bits(F.col("mask"))).alias("_bit"))
-    return pairs.withColumn("_at", F.col("_base") + F.col("_bit")).join(named, "_at").select("root_type", "root_id", *NODE)
+    shared = far.join(F.broadcast(named) if few else named, "word")
+    shared = shared.select(*NODE, "_names", F.explode(_bits(F.col("mask"))).alias("_bit")).withColumn("_root", F.col("_names")[F.col("_bit")])
+    return pairs.unionByName(shared.select("_root.root_type", "_root.root_id", *NODE))
+
+
+def _new_bits(found: DataFrame, frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """Bits `(word, type, id, mask)` that the frontier sends along the links and that are not yet `found`."""
+    key = ["word", *NODE]
+    arrived = frontier.join(links, NODE).groupBy("word", F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
+    arrived = settled(arrived.agg(F.bit_or("mask").alias("mask")))
+    places, size = counted(arrived.select(*NODE).distinct())
+    seen = found.join(F.broadcast(places), NODE, "left_semi") if size <= MAX_HOT_KEYS else _of_types(found, _types(places))
+    none = F.lit(0).cast("bigint")
+    both = arrived.select(*key, "mask", none.alias("_known")).unionByName(seen.select(*key, none.alias("mask"), F.col("mask").alias("_known")))
+    both = both.groupBy(*key).agg(F.bit_or("mask").alias("mask"), F.bit_or("_known").alias("_known"))
+    return both.select(*key, F.col("mask").bitwiseAND(F.bitwise_not(F.col("_known"))).alias("mask")).filter("mask <> 0")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.lineage import cut
+from tidegraph.lineage import settled
 from tidegraph.operators.closure import adjacency, along_edges, closure, closure_each
 from tidegraph.schema import NODE
 
@@ -26,7 +26,7 @@ def lookup(resources: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _heads(live: DataFrame, roots: DataFrame) -> DataFrame:
     """The keys of the live roots; they start the closure and are part of its result."""
-    return cut(live.select(*NODE).join(roots.select(*NODE).distinct(), NODE, "left_semi"))
+    return settled(live.select(*NODE).join(roots.select(*NODE).distinct(), NODE, "left_semi"))
 
 
 def hydrate_many(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -43,19 +43,20 @@ def hydrate_many(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> Da
     return picked.join(live.select(*NODE, "resource"), NODE).select("role", *NODE, "resource")
 
 
-def hydrate_each(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """One document per live root: `(root_type, root_id, role, type, id, resource)`."""
-    live = live_rows(resources)
+def hydrate_keys(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The keys of one document per live root: `(root_type, root_id, role, type, id)`, without the bodies."""
+    live = live_rows(resources).select(*NODE)
     heads = _heads(live, roots)
-    enterable = live.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"))
-    links = along_edges(edges).join(enterable, ["dst_type", "dst_id"], "left_semi")
-    pairs = closure_each(links, heads).withColumn("role", F.lit("included"))
+    pairs = closure_each(along_edges(edges), heads, live).withColumn("role", F.lit("included"))
     own = heads.select(F.col("type").alias("root_type"), F.col("id").alias("root_id"), *NODE, F.lit("data").alias("role"))
-    return (
-        own.unionByName(pairs)
-        .join(live.select(*NODE, "resource"), NODE)
-        .select("root_type", "root_id", "role", *NODE, "resource")
-    )
+    return own.unionByName(pairs).select("root_type", "root_id", "role", *NODE)
+
+
+def hydrate_each(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """One document per live root: `(root_type, root_id, role, type, id, resource)`."""
+    keys = hydrate_keys(resources, edges, roots)
+    bodies = live_rows(resources).select(*NODE, "resource")
+    return keys.join(bodies, NODE).select("root_type", "root_id", "role", *NODE, "resource")
 
 
 def documents(rows: DataFrame) -> DataFrame:
