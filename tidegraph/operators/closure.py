@@ -189,13 +189,13 @@ def _bits(mask: Column) -> Column:
 TYPES = 1_000  # up to so many types, links are read type by type
 
 
-def _types(df: DataFrame) -> list[str] | None:
+def types_in(df: DataFrame) -> list[str] | None:
     """The types in `df`, None if there are more than `TYPES`."""
     rows = df.filter("type IS NOT NULL").select("type").distinct().limit(TYPES + 1).collect()
     return None if len(rows) > TYPES else sorted(row[0] for row in rows)
 
 
-def _of_types(df: DataFrame, types: list[str] | None) -> DataFrame:
+def of_types(df: DataFrame, types: list[str] | None) -> DataFrame:
     return df if types is None else df.filter(F.col("type").isin(types))
 
 
@@ -213,10 +213,10 @@ class _Inner:
         """Stored links, with those of `types`; None if there are none."""
         if self.loaded is not None and (types is None or set(types) - self.loaded):
             more = None if types is None else sorted(set(types) - self.loaded)
-            stored = settled(self.entered(_of_types(self.links, more)))
+            stored = settled(self.entered(of_types(self.links, more)))
             self.held = stored if self.held is None or more is None else self.held.unionByName(stored)
             self.loaded = None if more is None else self.loaded | set(more)
-            new = _types(stored)
+            new = types_in(stored)
             self.sources = None if new is None or self.sources is None else sorted({*self.sources, *new})
         return self.held if self.sources is None or self.sources else None
 
@@ -238,7 +238,7 @@ def closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None = N
     entered = lambda hops: hops if allowed is None else hops.join(allowed, DST, "left_semi")
     heads, n_heads = counted(roots.select(*NODE).distinct().withColumn("_at", F.monotonically_increasing_id()))
     few = n_heads <= MAX_HOT_KEYS
-    out = _of_types(links, _types(heads))
+    out = of_types(links, types_in(heads))
     # Few roots pick their links first; of many, links are filtered first, as they are narrower than what they lead to.
     hops = entered(out.join(F.broadcast(heads), NODE).distinct()) if few else entered(out).join(heads, NODE).distinct()
     root = [F.col("type").alias("root_type"), F.col("id").alias("root_id")]
@@ -249,10 +249,10 @@ def closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None = N
     found, far = frontier, None
     inner = _Inner(links, entered)
     while True:
-        ahead = inner.out_of(_types(frontier))
+        ahead = inner.out_of(types_in(frontier))
         if ahead is None:
             break
-        fresh = _new_bits(found, _of_types(frontier, inner.sources), ahead)
+        fresh = _new_bits(found, of_types(frontier, inner.sources), ahead)
         frontier, size = counted(fresh)
         if not size:
             break
@@ -276,7 +276,7 @@ def _new_bits(found: DataFrame, frontier: DataFrame, links: DataFrame) -> DataFr
     arrived = frontier.join(links, NODE).groupBy("word", F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
     arrived = settled(arrived.agg(F.bit_or("mask").alias("mask")))
     places, size = counted(arrived.select(*NODE).distinct())
-    seen = found.join(F.broadcast(places), NODE, "left_semi") if size <= MAX_HOT_KEYS else _of_types(found, _types(places))
+    seen = found.join(F.broadcast(places), NODE, "left_semi") if size <= MAX_HOT_KEYS else of_types(found, types_in(places))
     none = F.lit(0).cast("bigint")
     both = arrived.select(*key, "mask", none.alias("_known")).unionByName(seen.select(*key, none.alias("mask"), F.col("mask").alias("_known")))
     both = both.groupBy(*key).agg(F.bit_or("mask").alias("mask"), F.bit_or("_known").alias("_known"))

@@ -2,7 +2,8 @@
 
 `condense` prepares links `(src_type, src_id, dst_type, dst_id)` for any number of closures:
 
-* Nodes become numbers, so the loops move two integers per link.
+* Links to leaves, nodes without a link of their own, are set apart: they lie on no cycle and pass nothing on.
+* The other nodes become numbers, so the loops move two integers per link.
 * Runs of nodes with one link in and one out are folded by pointer doubling, so a chain or a cycle of n
   such nodes costs log n rounds.  Nodes with no link in or none out are components of their own and are trimmed.
 * What is left is coloured: the largest number that reaches a node (forward) is its colour; nodes from which
@@ -12,7 +13,7 @@
 
 `spread_condensed` then carries values level by level.  A component takes the largest value that it was sent and
 sends it on once; a message is written once, under the level of its target, and read once.  So a closure takes as many rounds as
-there are levels, whatever cycles there are, and nothing reached before is rewritten.
+there are levels, whatever cycles there are, and nothing reached before is rewritten.  Leaves come last, in one join.
 """
 
 from __future__ import annotations
@@ -23,24 +24,27 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidegraph.lineage import settled, shared_folder
-from tidegraph.operators.closure import DST, SRC, against_edges
+from tidegraph.lineage import counted, settled, shared_folder
+from tidegraph.operators.closure import DST, SRC, against_edges, of_types, types_in
 from tidegraph.operators.ordering import previous_best, with_sequence
 from tidegraph.schema import NODE
+from tidegraph.skew import MAX_HOT_KEYS
 
 
 @dataclass(frozen=True)
 class Condensed:
-    """`nodes` (type, id, component); `links` (src, dst, level, dst_level) between components outside runs;
+    """`nodes` (type, id, component) but for leaves; `links` (src, dst, level, dst_level) between components outside runs;
 
     `components` (component, level) of those; `runs` (component, head, tail, place, first) of components that lie on a run,
-    numbered from 1 behind its head, and its first component; `levels` is how many levels there are, `rounds` how many rounds preparing took.
+    numbered from 1 behind its head, and its first component; `leaves` (type, id, dst_type, dst_id), the links to leaves;
+    `levels` is how many levels there are, `rounds` how many rounds preparing took.
     """
 
     nodes: DataFrame
     components: DataFrame
     links: DataFrame
     runs: DataFrame
+    leaves: DataFrame
     levels: int
     rounds: int
 
@@ -50,12 +54,6 @@ class _Rounds:
     n: int = 0
 
 
-def _counted(df: DataFrame) -> tuple[DataFrame, int]:
-    seen = Observation()
-    held = settled(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return held, seen.get["rows"]
-
-
 def _degrees(links: DataFrame) -> DataFrame:
     """(n, ins, outs, prev, next) for every node; `prev` and `next` mean something where the degree is 1."""
     ends = links.select(F.explode(F.array(
@@ -212,12 +210,17 @@ def _levelled(links: DataFrame, rounds: _Rounds) -> tuple[DataFrame, int]:
 def condense(links: DataFrame) -> Condensed:
     """Components, the DAG they form, its runs and its levels.  Repeated links and loops are harmless."""
     rounds = _Rounds()
-    ends = links.select(*(F.col(c).alias(n) for c, n in zip(SRC, NODE, strict=True)))
-    ends = ends.unionByName(links.select(*(F.col(c).alias(n) for c, n in zip(DST, NODE, strict=True)))).distinct()
-    numbered = settled(with_sequence(ends, NODE, "n"))
+    senders = links.select(*(F.col(c).alias(n) for c, n in zip(SRC, NODE, strict=True))).distinct()
+    numbered = settled(with_sequence(senders, NODE, "n"))
     a = numbered.select(F.col("type").alias("src_type"), F.col("id").alias("src_id"), F.col("n").alias("a"))
     b = numbered.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"), F.col("n").alias("b"))
-    pairs = settled(links.join(a, SRC).join(b, DST).filter("a <> b").select("a", "b").distinct())
+    # Nodes of a type that sends nothing are leaves without a look at the senders.
+    types = types_in(numbered)
+    sending = F.lit(True) if types is None else F.coalesce(F.col("dst_type").isin(types), F.lit(False))
+    marked = links.filter(sending).join(b, DST, "left").unionByName(links.filter(~sending).withColumn("b", F.lit(None).cast("bigint")))
+    marked = settled(marked.select(*SRC, *DST, "b"))
+    leaves = marked.filter("b IS NULL").select(*(F.col(c).alias(n) for c, n in zip(SRC, NODE, strict=True)), *DST)
+    pairs = settled(marked.filter("b IS NOT NULL").join(a, SRC).filter("a <> b").select("a", "b").distinct())
     labels = _labelled(pairs, rounds)
     least = labels.groupBy("component").agg(F.min("n").alias("_least"))
     labels = settled(labels.join(least, "component").select("n", F.col("_least").alias("component")))
@@ -239,14 +242,17 @@ def condense(links: DataFrame) -> Condensed:
     alone = nodes.select("component").distinct().join(on_run.select("component"), "component", "left_anti")
     held = alone.join(levels.withColumnRenamed("n", "component"), "component", "left")
     components = settled(held.select("component", F.coalesce("level", F.lit(0)).alias("level")))
-    return Condensed(nodes, components, levelled, settled(on_run), max(n_levels, 1), rounds.n)
+    return Condensed(nodes, components, levelled, settled(on_run), leaves, max(n_levels, 1), rounds.n)
 
 
 def strong_components(graph: Condensed) -> DataFrame:
     """`(type, id, component_type, component_id, members)`: the least member of each node's component, and how many there are."""
     nodes = graph.nodes
     named = nodes.groupBy("component").agg(F.min(F.struct(*NODE)).alias("_least"), F.count(F.lit(1)).alias("members"))
-    return nodes.join(named, "component").select(*NODE, F.col("_least.type").alias("component_type"), F.col("_least.id").alias("component_id"), "members")
+    inner = nodes.join(named, "component").select(*NODE, F.col("_least.type").alias("component_type"), F.col("_least.id").alias("component_id"), "members")
+    leaves = graph.leaves.select(F.col("dst_type").alias("type"), F.col("dst_id").alias("id")).distinct()
+    alone = [F.col("type").alias("component_type"), F.col("id").alias("component_id"), F.lit(1).cast("bigint").alias("members")]
+    return inner.unionByName(leaves.select(*NODE, *alone))
 
 
 def spread_condensed(graph: Condensed, seeds: DataFrame) -> DataFrame:
@@ -266,7 +272,7 @@ def spread_condensed(graph: Condensed, seeds: DataFrame) -> DataFrame:
     schema, values = "component bigint, value bigint, level int", own.select("component", "value").limit(0)
     for level in range(graph.levels):
         inbox = spark.read.schema(schema).parquet(f"{folder}/messages").filter(F.col("level") == level)
-        best, size = _counted(inbox.groupBy("component").agg(F.max("value").alias("value")))
+        best, size = counted(inbox.groupBy("component").agg(F.max("value").alias("value")))
         if not size:
             continue
         values = values.unionByName(best)
@@ -276,8 +282,15 @@ def spread_condensed(graph: Condensed, seeds: DataFrame) -> DataFrame:
     heads = values.select(F.col("component").alias("head"), F.col("value").alias("_head"))
     inner = runs.join(heads, "head", "left").select("component", F.greatest("local", "_head").alias("value"))
     reached = values.unionByName(inner.filter("value IS NOT NULL"))
-    inside = graph.nodes.join(reached, "component").select(*NODE, "value")
-    return inside.unionByName(placed.filter("component IS NULL").select(*NODE, "value"))
+    inside, size = counted(graph.nodes.join(reached, "component").select(*NODE, "value"))
+    outside = placed.filter("component IS NULL").select(*NODE, "value")
+    if not size:
+        return outside
+    senders = F.broadcast(inside) if size <= MAX_HOT_KEYS else inside
+    sent = of_types(graph.leaves, types_in(inside)).filter("dst_type IS NOT NULL AND dst_id IS NOT NULL").join(senders, NODE)
+    sent = sent.select(F.col("dst_type").alias("type"), F.col("dst_id").alias("id"), "value")
+    # A leaf may be a seed too.
+    return inside.unionByName(outside.unionByName(sent).groupBy(*NODE).agg(F.max("value").alias("value")))
 
 
 def closure_condensed(graph: Condensed, seeds: DataFrame) -> DataFrame:
