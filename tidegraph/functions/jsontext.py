@@ -43,26 +43,29 @@ def identifier(type_: Column, id_: Column) -> Column:
 
 
 def relationship_ids(relationships: Column) -> Column:
-    """Distinct identifiers of all relationships (JSON text), sorted by type and id.
+    """`identifiers` of relationships given as JSON text.
+
+    Where the document is parsed already, give `identifiers` that: text is parsed twice here, as both kinds of `data` are read.
+    """
+    return identifiers(parsed(relationships))
+
+
+def identifiers(doc: Column, path: str = "$") -> Column:
+    """Distinct identifiers of all relationships at `path` of a parsed document, sorted by type and id.
 
     Each relationship holds one identifier or a list under `data`, or no `data`.
     Members that are of another kind hold no identifiers and hide no others; types and ids are strings only.
+    Lists and single identifiers are taken by one cast each, in which a value of another kind becomes NULL by itself.
     """
+    # Of all scalars only strings can be cast to binary: 1 and true are no ids, although they have a text.
+    one = "struct<type:binary,id:binary>"
 
-    def text(value: Column, name: str) -> Column:
-        held = F.try_variant_get(value, f"$.{name}", "variant")
-        return F.when(F.schema_of_variant(held) == "STRING", F.try_variant_get(held, "$", "string"))
-
-    def ids(value: Column) -> Column:
-        data = F.try_variant_get(value, "$.data", "variant")
-        listed = F.coalesce(F.try_variant_get(data, "$", "array<variant>"), F.array(data))
-        return F.transform(listed, lambda i: identifier(text(i, "type"), text(i, "id")))
+    def data(kind: str) -> Column:
+        return F.map_values(F.try_variant_get(doc, path, f"map<string,struct<data:{kind}>>"))["data"]
 
-    members = F.map_values(F.try_variant_get(parsed(relationships), "$", "map<string,variant>"))
-    found = F.filter(
-        F.flatten(F.transform(members, ids)), lambda r: r["type"].isNotNull() & r["id"].isNotNull()
-    )
-    return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast(IDENTIFIERS))
+    listed = F.flatten(F.filter(data(f"array<{one}>"), lambda ids: ids.isNotNull()))
+    whole = F.filter(F.concat(listed, data(one)), lambda r: r["type"].isNotNull() & r["id"].isNotNull())
+    return F.coalesce(F.sort_array(F.array_distinct(whole.cast(IDENTIFIERS))), F.array().cast(IDENTIFIERS))
 
 
 def digest(*parts: Column) -> Column:

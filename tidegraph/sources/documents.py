@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.functions.jsontext import IDENTIFIERS, member, member_doc, parsed, relationship_ids, string_member
+from tidegraph.functions.jsontext import IDENTIFIERS, identifiers, member, member_doc, parsed, string_member
 from tidegraph.schema import RAW_BATCHES, READ_WRITES, UNREADABLE
 
 
@@ -54,16 +54,17 @@ def normalise(raw: DataFrame) -> DataFrame:
         F.coalesce("header_seq", _whole_number(member_doc(doc, "meta.sequenceNumber"))).alias("seq"),
         F.when(put, _given(member(doc, "attributes"))).alias("attributes"),
         F.when(put, _given(member(doc, "relationships"))).alias("relationships"),
+        F.when(put, member_doc(doc, "relationships")).alias("_relationships"),
         F.when(put, _given(member(doc, "links"))).alias("links"),
         _given(member(doc, "meta")).isNotNull().alias("_has_meta"),
     )
     return parts.select(
-        *[c for c in parts.columns if c not in ("_has_meta", "header_seq", "links")],
+        *[c for c in parts.columns if c not in ("_has_meta", "header_seq", "links", "_relationships")],
         F.col("path_type").alias("type"),
         F.col("path_id").alias("id"),
         (~put).alias("deleted"),
         _body(F.col("path_type"), F.col("path_id")).alias("body"),
-        F.when(put, relationship_ids(F.col("relationships")))
+        F.when(put, identifiers(F.col("_relationships")))
         .otherwise(F.array().cast(IDENTIFIERS))
         .alias("out_refs"),
     )
