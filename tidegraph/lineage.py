@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+# Narrow rows take a few bytes each in a stored table, so a task that reads the usual 128 MB of one joins and
+# combines tens of millions of them.  This much keeps a task's hash table to a few hundred MB at any size of input.
+SPLIT_BYTES = 16 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder: `spark.checkpoint.dir`, or a fresh local one in local mode only."""
     context = spark.sparkContext
@@ -42,7 +47,7 @@ def settled(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(SPLIT_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +67,19 @@ def fixed_partitioning(spark: SparkSession, partitions: int):
     coalescing would drop both.
     """
     wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    with _conf(spark, wanted):
+        yield
+
+
+@contextmanager
+def small_splits(spark: SparkSession):
+    """Read files in splits of at most `SPLIT_BYTES`, so that tasks become more and not larger as tables grow."""
+    with _conf(spark, {"spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES)}):
+        yield
+
+
+@contextmanager
+def _conf(spark: SparkSession, wanted: dict[str, str]):
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidegraph.lineage import counted, cut, fixed_partitioning, settled
+from tidegraph.lineage import counted, cut, fixed_partitioning, settled, small_splits
 from tidegraph.schema import NODE
 from tidegraph.skew import HOT_ROWS, MAX_HOT_KEYS, key_load, partitions_for
 
@@ -233,6 +233,11 @@ def closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None = N
     Rows of root and node come into being at the end.  The answer has one of them per root and node, so use `closure`
     where one shared set will do.
     """
+    with small_splits(links.sparkSession):
+        return _closure_each(links, roots, nodes)
+
+
+def _closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None) -> DataFrame:
     links = links.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), *DST)
     allowed = None if nodes is None else nodes.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"))
     entered = lambda hops: hops if allowed is None else hops.join(allowed, DST, "left_semi")
