@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from tidegraph.llm import divergence as dv
+from tidegraph.llm import terms as tm
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -88,3 +89,22 @@ def test_vectors_hold_every_kept_term_of_a_document(spark):
     assert [(r["index"], bytes(r.term), r.df) for r in words] == [(1, b"aa", 8), (2, b"bb", 8)]
     got = sorted((tuple(r.indices), tuple(r["counts"])) for r in dv.vectors(docs, words).collect())
     assert got == sorted(((1, 2), (k, 2)) for k in range(1, 9))
+
+
+def test_vectors_are_summed_where_they_are_made(spark, capsys):
+    docs = dv.grouped(spark.createDataFrame([("aa bb", "en", "s"), ("bb", "en", "s")], "text string, lang string, source string"))
+    sums = dv.vector_sums(docs, dv.vocabulary(docs, 1).collect())
+    capsys.readouterr()
+    sums.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in sums.collect()) == [("en", "s", 1, 2), ("en", "s", 2, 1)]
+
+
+def test_vectors_of_many_texts_equal_their_bags():
+    texts = [b"", b"  ", b"A b\xff\xfe a", b"12 3", b"\x1c\x85 q \x00Q", b"x y " * 1_200_000, b"z" * 5_000_000, "Ärger ärger".encode()]
+    found = [Counter() for _ in texts]
+    for terms, *entries in tm.vectors(texts, tm.LETTERS, lambda terms: np.arange(len(terms))):
+        named = terms.to_pylist()
+        for text, index, count in zip(*(x.tolist() for x in entries), strict=True):
+            found[text][named[index]] += count
+    assert found == [tm.bag(x, tm.LETTERS) for x in texts]

@@ -18,9 +18,7 @@ are ranked by the item in UTF-8 order.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from itertools import batched
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm import terms as tm
-from tidegraph.llm.base import find_package, map_batches, map_rows, stored
+from tidegraph.llm.base import BATCH_ROWS, find_package, map_batches, stored
 from tidegraph.operators.ordering import running_count
 
 MIN_DOCUMENTS = 30
@@ -51,23 +49,49 @@ def grouped(documents: DataFrame) -> DataFrame:
     return documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in [*GROUP, "text"]))
 
 
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """The rows of at most `BATCH_ROWS` neighbours, language by language."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            rows = pa.Table.from_batches([batch.slice(at, BATCH_ROWS)])
+            langs = rows["lang"].combine_chunks().dictionary_encode()
+            order = np.argsort(np.asarray(langs.indices), kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(np.asarray(langs.indices), minlength=len(langs.dictionary))))
+            rows = rows.take(pa.array(order))
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                yield lang, rows.slice(ends[k], ends[k + 1] - ends[k])
+
+
 def document_frequencies(documents: DataFrame) -> DataFrame:
     """(lang, term, df): how many documents of a language hold each term; summed up in the tasks first."""
 
-    def emit(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            for some in batched(counts.items(), SENT_ROWS):
-                columns = {"term": pa.array([t for t, _ in some], pa.binary()), "df": pa.array([n for _, n in some], pa.int64())}
-                yield pa.record_batch({"lang": pa.array([lang] * len(some), pa.string()), **columns})
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        if len(parts) == 1:
+            return parts[0]
+        both = pa.concat_tables(parts).group_by("term", use_threads=False).aggregate([("df", "sum")])
+        return pa.table({"term": both["term"], "df": both["df_sum"]})
+
+    def emit(held: dict[str, list[pa.Table]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            total = summed(parts)
+            named = pa.repeat(pa.scalar(lang, pa.string()), len(total))
+            rows = pa.table({"lang": named, "term": total["term"].cast(pa.binary()), "df": total["df"]})
+            yield from rows.to_batches(max_chunksize=SENT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), tm.utf8_texts(batch), strict=True):
-                held.setdefault(lang, Counter()).update(tm.bag(text, tm.LETTERS).keys())
-            if sum(map(len, held.values())) > HELD_TERMS:
-                yield from emit(held)
-                held = {}
+        held: dict[str, list[pa.Table]] = {}
+        size = 0
+        for lang, rows in _by_lang(batches):
+            for terms, _, index, _ in tm.vectors(tm.utf8_texts(rows), tm.LETTERS, lambda terms: np.arange(len(terms))):
+                counts = np.bincount(index, minlength=len(terms))
+                held.setdefault(lang, []).append(pa.table({"term": terms, "df": pa.array(counts, pa.int64())}))
+                size += len(terms)
+                if size > HELD_TERMS:
+                    held = {k: [summed(parts)] for k, parts in held.items()}
+                    size = sum(len(parts[0]) for parts in held.values())
+                if size > HELD_TERMS:
+                    yield from emit(held)
+                    held, size = {}, 0
         yield from emit(held)
 
     counts = map_batches(documents.select("lang", "text"), run, "lang string, term binary, df long")
@@ -83,42 +107,55 @@ def vocabulary(documents: DataFrame, least: int = MIN_DOCUMENTS, block_bytes: in
     return stored(sized.select("lang", F.col("index").cast("int").alias("index"), "term", "df", block))
 
 
-def vectors(documents: DataFrame, block: list) -> DataFrame:
-    """(lang, source, indices, counts): per row the sparse vector over the terms of one block of the vocabulary."""
+def _own(documents: DataFrame, block: list) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """The documents in the languages of a block of the vocabulary, and what makes a sparse vector of each."""
     held: dict[str, dict[bytes, int]] = {}
     for r in block:
         held.setdefault(r.lang, {})[bytes(r.term)] = r["index"]
     shared = documents.sparkSession.sparkContext.broadcast(held)  # about BLOCK_BYTES
 
-    def step(rows: pa.Table) -> pa.Table:
-        known, indices, counts = shared.value, [], []
-        for lang, text in zip(rows["lang"].to_pylist(), tm.utf8_texts(rows), strict=True):
-            numbers, terms = known[lang], tm.bag(text, tm.LETTERS)
-            met = sorted((numbers[t], terms[t]) for t in terms.keys() & numbers.keys())
-            indices.append([k for k, _ in met])
-            counts.append([n for _, n in met])
-        vector = {"indices": pa.array(indices, pa.list_(pa.int32())), "counts": pa.array(counts, pa.list_(pa.int64()))}
-        return pa.table({"lang": rows["lang"], "source": rows["source"], **vector})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for lang, rows in _by_lang(batches):
+            find = known[lang].get
+
+            def number(terms: pa.Array, find: Callable = find) -> np.ndarray:
+                return np.fromiter((find(t, -1) for t in terms.to_pylist()), np.int64, len(terms))
+
+            parts = [part[1:] for part in tm.vectors(tm.utf8_texts(rows), tm.LETTERS, number)]
+            text, index, count = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else [()] * 3))
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=len(rows)))), pa.int32())
+            vector = {
+                "indices": pa.ListArray.from_arrays(ends, pa.array(index, pa.int32())),
+                "counts": pa.ListArray.from_arrays(ends, pa.array(count, pa.int64())),
+            }
+            yield from pa.table({"lang": rows["lang"], "source": rows["source"], **vector}).to_batches()
 
-    own = documents.filter(F.col("lang").isin(list(held)))
-    return map_rows(own, step, "lang string, source string, indices array<int>, counts array<long>")
+    return documents.filter(F.col("lang").isin(list(held))), run
 
 
-def vector_sums(rows: DataFrame) -> DataFrame:
-    """(lang, source, index, count): the sum of the vectors of each group, zeros left out."""
+def vectors(documents: DataFrame, block: list) -> DataFrame:
+    """(lang, source, indices, counts): per row the sparse vector over the terms of one block of the vocabulary."""
+    own, run = _own(documents, block)
+    return map_batches(own, run, "lang string, source string, indices array<int>, counts array<long>")
+
+
+def vector_sums(documents: DataFrame, block: list) -> DataFrame:
+    """(lang, source, index, count): the sum of the `vectors` of each group, zeros left out; taken where they are made."""
 
     def emit(held: dict[tuple[str, str], list]) -> Iterator[pa.RecordBatch]:
         for (lang, source), parts in held.items():
-            index, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-            total = np.zeros(len(index), np.int64)
-            np.add.at(total, at, np.concatenate([n for _, n in parts]))
-            names = [pa.array([x] * len(index), pa.string()) for x in (lang, source)]
-            yield pa.record_batch([*names, pa.array(index, pa.int32()), pa.array(total)], [*GROUP, "index", "count"])
+            entries = pa.table({"index": np.concatenate([x for x, _ in parts]), "count": np.concatenate([n for _, n in parts])})
+            sums = entries.group_by("index", use_threads=False).aggregate([("count", "sum")])
+            names = {k: pa.repeat(pa.scalar(x, pa.string()), len(sums)) for k, x in (("lang", lang), ("source", source))}
+            yield from pa.table({**names, "index": sums["index"], "count": sums["count_sum"]}).to_batches()
+
+    own, made = _own(documents, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], list] = {}
         entries = 0
-        for batch in batches:
+        for batch in made(batches):
             ends = np.append(0, np.cumsum(batch["indices"].value_lengths()))
             indices, counts = np.asarray(batch["indices"].flatten()), np.asarray(batch["counts"].flatten())
             for k, group in enumerate(zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True)):
@@ -131,7 +168,7 @@ def vector_sums(rows: DataFrame) -> DataFrame:
                 held, entries = {}, 0
         yield from emit(held)
 
-    partial = map_batches(rows, run, "lang string, source string, index int, count long")
+    partial = map_batches(own, run, "lang string, source string, index int, count long")
     return partial.groupBy(*GROUP, "index").agg(F.sum("count").alias("count"))
 
 
@@ -141,7 +178,7 @@ def group_sums(documents: DataFrame, words: DataFrame) -> DataFrame:
     sums = None
     for k in range(blocks):
         block = words.filter(F.col("block") == k).select("lang", "term", "index").collect()  # about BLOCK_BYTES
-        part = vector_sums(vectors(documents, block))
+        part = vector_sums(documents, block)
         sums = part if sums is None else sums.unionByName(part)
     return stored(sums)
 
