@@ -191,6 +191,27 @@ def log_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def newest_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`log_updates` compacted: the latest row of each resource.
+
+    A type comes from one key of one table, so it is grouped by that key before it becomes text.
+    """
+
+    def newest(name: str, at: str, type_: str, key: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).groupBy(key).agg(F.max(at).alias("event_time"))
+        return rows.select(F.lit(type_).alias("type"), text(key).alias("id"), "event_time")
+
+    return reduce(
+        DataFrame.unionByName,
+        [
+            newest("orders", "o_orderdate", "order", "o_orderkey"),
+            newest("orders", "o_orderdate", "customer", "o_custkey"),
+            newest("lineitem", "l_shipdate", "part", "l_partkey"),
+            newest("lineitem", "l_shipdate", "supplier", "l_suppkey"),
+        ],
+    )
+
+
 def changefeeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three levels of feeds: regions are roots, nations read behind them, customers behind nations.
 

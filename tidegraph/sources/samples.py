@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.jsontext import identifier
 from tidegraph.operators.ordering import with_sequence
-from tidegraph.sources.retail import log_updates, table, text
+from tidegraph.sources.retail import newest_updates, table, text
 
 
 def event_k() -> Column:
@@ -16,8 +16,7 @@ def event_k() -> Column:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compacted change log of the tables, numbered by time, then type, then id."""
-    latest = log_updates(spark, sf_dir).groupBy("type", "id").agg(F.max("event_time").alias("event_time"))
-    return with_sequence(latest, ["event_time", "type", "id"], "seq")
+    return with_sequence(newest_updates(spark, sf_dir), ["event_time", "type", "id"], "seq")
 
 
 def queued_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
