@@ -14,13 +14,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import nullcontext
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegraph.lineage import counted, cut, fixed_partitioning, settled, small_splits
 from tidegraph.schema import NODE
-from tidegraph.skew import HOT_ROWS, MAX_HOT_KEYS, key_load, partitions_for
+from tidegraph.skew import HOT_ROWS, MAX_HOT_KEYS, by_rows, key_load, partitions_for
 
 SRC = ["src_type", "src_id"]
 DST = ["dst_type", "dst_id"]
@@ -199,26 +200,72 @@ def of_types(df: DataFrame, types: list[str] | None) -> DataFrame:
     return df if types is None else df.filter(F.col("type").isin(types))
 
 
+def rows_per_type(df: DataFrame) -> dict[str, int] | None:
+    """How many rows `df` has of each type, None if there are more than `TYPES`."""
+    counts = df.filter("type IS NOT NULL").groupBy("type").agg(F.count(F.lit(1)).alias("rows")).limit(TYPES + 1).collect()
+    return None if len(counts) > TYPES else {row["type"]: row["rows"] for row in counts}
+
+
+def _entering(nodes: DataFrame | None) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the links that lead to `nodes`: small types are looked up in a broadcast of `MAX_HOT_KEYS` rows at most."""
+    if nodes is None:
+        return lambda hops: hops
+    allowed = nodes.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"))
+    sizes, few, total = rows_per_type(nodes), [], 0
+    for type_, rows in sorted((sizes or {}).items(), key=lambda size: size[1]):
+        total += rows
+        if total <= MAX_HOT_KEYS:
+            few.append(type_)
+    is_few = F.col("dst_type").isin(few)
+
+    def entered(hops: DataFrame) -> DataFrame:
+        if not few:
+            return hops.join(allowed.hint("merge"), DST[::-1], "left_semi")
+        into_few = hops.filter(is_few).join(F.broadcast(allowed.filter(is_few)), DST[::-1], "left_semi")
+        if len(few) == len(sizes):
+            return into_few
+        others = hops.filter(~is_few).join(allowed.filter(~is_few).hint("merge"), DST[::-1], "left_semi")
+        return into_few.unionByName(others)
+
+    return entered
+
+
+@dataclass(frozen=True)
+class _Part:
+    """Stored links out of nodes of the types `sources`, None for types too many to name."""
+
+    links: DataFrame
+    sources: list[str] | None
+    rows: int | None
+
+    def sent(self, frontier: DataFrame) -> DataFrame:
+        """What the frontier sends along these links."""
+        links = self.links.hint("merge") if self.rows is None else by_rows(self.links, self.rows, MAX_HOT_KEYS)
+        return of_types(frontier, self.sources).join(links, NODE[::-1]).select("word", *DST, "mask")
+
+
 @dataclass
 class _Inner:
-    """Links out of what was reached: those of a type are filtered and stored when a node of it is first reached."""
+    """Links out of what was reached: those of a type are filtered and stored when a node of it is first reached.
+
+    What is stored at once is a part of its own, so a round reads only links out of types of its frontier.
+    """
 
     links: DataFrame
     entered: Callable[[DataFrame], DataFrame]
-    held: DataFrame | None = None
+    parts: list[_Part] = field(default_factory=list)
     loaded: set[str] | None = field(default_factory=set)
-    sources: list[str] | None = field(default_factory=list)
 
-    def out_of(self, types: list[str] | None) -> DataFrame | None:
-        """Stored links, with those of `types`; None if there are none."""
+    def out_of(self, types: list[str] | None) -> list[_Part]:
+        """Stored parts with links out of `types`."""
         if self.loaded is not None and (types is None or set(types) - self.loaded):
             more = None if types is None else sorted(set(types) - self.loaded)
             stored = settled(self.entered(of_types(self.links, more)))
-            self.held = stored if self.held is None or more is None else self.held.unionByName(stored)
+            sizes = rows_per_type(stored)
+            part = _Part(stored, None, None) if sizes is None else _Part(stored, sorted(sizes), sum(sizes.values()))
+            self.parts = [part] if more is None else [*self.parts, part]
             self.loaded = None if more is None else self.loaded | set(more)
-            new = types_in(stored)
-            self.sources = None if new is None or self.sources is None else sorted({*self.sources, *new})
-        return self.held if self.sources is None or self.sources else None
+        return [p for p in self.parts if p.sources is None or (p.sources if types is None else set(types) & set(p.sources))]
 
 
 def closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -230,6 +277,7 @@ def closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None = N
     instead of one row per root.  Masks that meet are merged by `bit_or`, and a round sends on only bits that are new to
     a node.  Only links of types that were reached are laid out for that.  Each round's new bits are a table of their own; what
     arrives is compared with the rows of the same nodes only, found by a broadcast of these where they are few.
+    Tables are broadcast by their number of rows only: a few bytes a row in a file are a hundred or more on the driver.
     Rows of root and node come into being at the end.  The answer has one of them per root and node, so use `closure`
     where one shared set will do.
     """
@@ -239,25 +287,22 @@ def closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None = N
 
 def _closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None) -> DataFrame:
     links = links.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), *DST)
-    allowed = None if nodes is None else nodes.select(F.col("type").alias("dst_type"), F.col("id").alias("dst_id"))
-    entered = lambda hops: hops if allowed is None else hops.join(allowed, DST, "left_semi")
+    entered = _entering(nodes)
     heads, n_heads = counted(roots.select(*NODE).distinct().withColumn("_at", F.monotonically_increasing_id()))
     few = n_heads <= MAX_HOT_KEYS
     out = of_types(links, types_in(heads))
     # Few roots pick their links first; of many, links are filtered first, as they are narrower than what they lead to.
-    hops = entered(out.join(F.broadcast(heads), NODE).distinct()) if few else entered(out).join(heads, NODE).distinct()
+    starts = by_rows(heads, n_heads, MAX_HOT_KEYS)
+    hops = entered(out.join(starts, NODE[::-1]).distinct()) if few else entered(out).join(starts, NODE[::-1]).distinct()
     root = [F.col("type").alias("root_type"), F.col("id").alias("root_id")]
     near = settled(hops.select(*root, "_at", F.col("dst_type").alias("type"), F.col("dst_id").alias("id")))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_at") % WORD).cast("int"))
     word = F.floor(F.col("_at") / WORD).alias("word")
     frontier = near.select(word, *NODE, bit.alias("mask"))
-    found, far = frontier, None
+    found, far, types = frontier, None, types_in(frontier)
     inner = _Inner(links, entered)
-    while True:
-        ahead = inner.out_of(types_in(frontier))
-        if ahead is None:
-            break
-        fresh = _new_bits(found, of_types(frontier, inner.sources), ahead)
+    while ahead := inner.out_of(types):
+        fresh, types = _new_bits(found, frontier, ahead)
         frontier, size = counted(fresh)
         if not size:
             break
@@ -270,19 +315,23 @@ def _closure_each(links: DataFrame, roots: DataFrame, nodes: DataFrame | None) -
     named = heads.withColumn("word", word).groupBy("word")
     named = named.agg(F.sort_array(F.collect_list(F.struct("_at", *root))).alias("_names"))
     # A node's bits are spread over the rounds in which they arrived, each bit in one of them.
-    shared = far.join(F.broadcast(named) if few else named, "word")
+    shared = far.join(F.broadcast(named) if few else named.hint("merge"), "word")
     shared = shared.select(*NODE, "_names", F.explode(_bits(F.col("mask"))).alias("_bit")).withColumn("_root", F.col("_names")[F.col("_bit")])
     return pairs.unionByName(shared.select("_root.root_type", "_root.root_id", *NODE))
 
 
-def _new_bits(found: DataFrame, frontier: DataFrame, links: DataFrame) -> DataFrame:
-    """Bits `(word, type, id, mask)` that the frontier sends along the links and that are not yet `found`."""
+def _new_bits(found: DataFrame, frontier: DataFrame, ahead: list[_Part]) -> tuple[DataFrame, list[str] | None]:
+    """Bits `(word, type, id, mask)` that the frontier sends along the links and that are not yet `found`; types they may be of."""
     key = ["word", *NODE]
-    arrived = frontier.join(links, NODE).groupBy("word", F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
+    sent = reduce(DataFrame.unionByName, [part.sent(frontier) for part in ahead])
+    arrived = sent.groupBy("word", F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
     arrived = settled(arrived.agg(F.bit_or("mask").alias("mask")))
     places, size = counted(arrived.select(*NODE).distinct())
-    seen = found.join(F.broadcast(places), NODE, "left_semi") if size <= MAX_HOT_KEYS else of_types(found, types_in(places))
+    types = types_in(places)
+    seen = of_types(found, types)
+    if size <= MAX_HOT_KEYS:
+        seen = seen.join(F.broadcast(places), NODE, "left_semi")
     none = F.lit(0).cast("bigint")
     both = arrived.select(*key, "mask", none.alias("_known")).unionByName(seen.select(*key, none.alias("mask"), F.col("mask").alias("_known")))
     both = both.groupBy(*key).agg(F.bit_or("mask").alias("mask"), F.bit_or("_known").alias("_known"))
-    return both.select(*key, F.col("mask").bitwiseAND(F.bitwise_not(F.col("_known"))).alias("mask")).filter("mask <> 0")
+    return both.select(*key, F.col("mask").bitwiseAND(F.bitwise_not(F.col("_known"))).alias("mask")).filter("mask <> 0"), types

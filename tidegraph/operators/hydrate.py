@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.lineage import settled
+from tidegraph.lineage import counted, settled
 from tidegraph.operators.closure import adjacency, along_edges, closure, closure_each
 from tidegraph.schema import NODE
+from tidegraph.skew import MAX_HOT_KEYS, by_rows
 
 
 def live_rows(resources: DataFrame) -> DataFrame:
@@ -26,7 +27,8 @@ def lookup(resources: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _heads(live: DataFrame, roots: DataFrame) -> DataFrame:
     """The keys of the live roots; they start the closure and are part of its result."""
-    return settled(live.select(*NODE).join(roots.select(*NODE).distinct(), NODE, "left_semi"))
+    wanted, size = counted(roots.select(*NODE).distinct())
+    return settled(live.select(*NODE).join(by_rows(wanted, size, MAX_HOT_KEYS), NODE[::-1], "left_semi").select(*NODE))
 
 
 def hydrate_many(resources: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

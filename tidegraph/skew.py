@@ -50,6 +50,15 @@ def partitions_for(rows: int, shuffle_partitions: int) -> int:
     return max(1, large, min(shuffle_partitions, small))
 
 
+def by_rows(df: DataFrame, rows: int, most: int = MAX_HOT_KEYS) -> DataFrame:
+    """`df` as one side of a join: broadcast if it has at most `most` rows, and otherwise never.
+
+    Left alone, the planner broadcasts what is small as a file.  Narrow keys take a byte or two there and a hundred or
+    more in a hash table, which the driver builds; adaptive planning does not take such a choice back.
+    """
+    return F.broadcast(df) if rows <= most else df.hint("merge")
+
+
 def join_unique(facts: DataFrame, unique: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of a table that may have hot keys with one that has a row per key.
 
